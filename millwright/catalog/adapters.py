@@ -16,13 +16,13 @@ CARD = CardParams()
 
 # Words of the invented corpus stand in for shop-floor words.
 NOTE_LEXICON = Lexicon(
-    asset_pattern=r"(?i)\b(the|und|les|una)\b",
-    failure_modes=(("FM0", ("tion", "ung ")), ("FM1", ("ment", "sch ")), ("FM2", ("thor", "que "))),
-    convention=("always ", "for and", "des le"), gotcha=("not ", "wh the", "nicht", "dans "),
+    asset_pattern=r"\b(the|und|les|una)\b",
+    failure_modes=(("FM0", ("tion", "ung ")), ("FM1", ("ment", "sch ", "trial")), ("FM2", ("thor", "que "))),
+    convention=("always ", "for and", "des le"), gotcha=("not ", "wh the", "nicht", "dans ", "dont ", "never "),
     symptom=("when ", "with ", " mit ", "avec "), fix=("on the", "der ", "est "), explicit_fix=("is on the",),
-    recurred=("again", "re ", "ver"))
+    recurred=("again", "re ", "ver", "came back"))
 QUESTION_RULES = QuestionRules(
-    asset_pattern=r"(?i)\b(the|und|les|una)\b", line_pattern=r"(?i)\b(?:is\s*|de )([a-f])",
+    asset_pattern=r"\b(the|und|les|una)\b", line_pattern=r"\b(?:is |de )([a-f])",
     refuse=(r"\b(ich|nous)\b", r"\b(with|avec)\b.*\b(the|les)\b", r"\bthat\b"),
     warning_hint=r"\b(not|nicht|pas)\b", draft_hint=r"\b(on|das)\b.*\bwas\b",
     analytic_hint=r"\b(for|and|des|der|el)\b",

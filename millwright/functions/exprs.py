@@ -93,13 +93,13 @@ def parse_parts(c: Column) -> Column:
 
 
 def find(c: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a pattern's group, NULL when there is none."""
-    return empty_to_null(F.regexp_extract(c, pattern, group))
+    """First match of a pattern's group, NULL when there is none. Case and word boundaries follow Unicode."""
+    return empty_to_null(F.regexp_extract(c, "(?iU)" + pattern, group))
 
 
 def search(c: Column, pattern: str) -> Column:
-    """Does the case-insensitive pattern occur anywhere?"""
-    return c.rlike("(?i)" + pattern)
+    """Does the pattern occur anywhere? Case and word boundaries follow Unicode."""
+    return c.rlike("(?iU)" + pattern)
 
 
 def any_contains(c: Column, needles) -> Column:
@@ -121,3 +121,8 @@ def out(c: Column, digits: int = 4) -> Column:
     Summation order leaves noise in the last bits of a double; dropping it first keeps exact halves stable.
     """
     return F.round(F.round(c.cast("double"), 9), digits)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``; lambdas have no common-subexpression step."""
+    return F.transform(F.array(value), body)[0]

@@ -11,8 +11,8 @@ from millwright.params import Lexicon, TokenRules
 
 def split_sentences(c: Column) -> Column:
     """Trimmed non-empty sentences in order; a sentence ends at ``.``, ``!`` or ``?`` before white space."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+")
-    stripped = F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.split(F.coalesce(c, F.lit("")), r"(?U)(?<=[.!?])\s+")
+    stripped = F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.filter(stripped, lambda s: s != "")
 
 

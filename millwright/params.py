@@ -88,7 +88,7 @@ class RankParams:
 # failure mode with a hit wins.
 @dataclass(frozen=True)
 class Lexicon:
-    asset_pattern: str = r"(?i)\b(CNC[1-4]|P[1-3]|AC[12]|CV[1-3])\b"
+    asset_pattern: str = r"\b(CNC[1-4]|P[1-3]|AC[12]|CV[1-3])\b"
     failure_modes: tuple = (
         ("MOTOR_OVERHEAT", ("motor trip", "overload", "motor hot", "motor tripping")),
         ("BEARING_WEAR", ("bearing", "brg", "grease", "lube")),
@@ -131,8 +131,8 @@ class TokenRules:
 @dataclass(frozen=True)
 class QuestionRules:
     cannot: str = "I can't establish that from the available data."
-    asset_pattern: str = r"(?i)\b(CNC[1-4]|P[1-3]|AC[12]|CV[1-3])\b"
-    line_pattern: str = r"(?i)\b(?:line\s*|L)([1-3])\b"
+    asset_pattern: str = r"\b(CNC[1-4]|P[1-3]|AC[12]|CV[1-3])\b"
+    line_pattern: str = r"\b(?:line\s*|L)([1-3])\b"
     refuse: tuple = (
         r"\b(quit|resign|fire|fired|salary|salaries|pay|personal|phone number|address|religion|caste|health of)\b",
         r"\b(next (quarter|year|month)|forecast|predict)\b.*\b(oee|revenue|profit|sales)\b",

@@ -152,8 +152,7 @@ def edges_supersedes(spark, sf):
 
 
 def edges(spark, sf):
-    return cd.edges(cards_frame(spark, sf)).groupBy("relation", "to_type").agg(
-        F.count("*").alias("n"), F.countDistinct("from_id").alias("n_from"), F.countDistinct("to_id").alias("n_to"))
+    return cd.edges(cards_frame(spark, sf))
 
 
 def edges_for(spark, sf):
@@ -492,9 +491,7 @@ SELECT * FROM (
     AND n.card_type = 'FIX' AND n.outcome = 'RESOLVED'
   GROUP BY ALL) WHERE first_no <= last_no"""),
     "edges_supersedes": compose("SELECT * FROM supersedes_v"),
-    "edges": compose("""
-SELECT relation, to_type, count(*) AS n, count(DISTINCT from_id) AS n_from, count(DISTINCT to_id) AS n_to
-FROM edges_v GROUP BY ALL"""),
+    "edges": compose("SELECT * FROM edges_v"),
     "edges_for": compose("""
 SELECT * FROM (SELECT * FROM about_v UNION ALL SELECT * FROM contradicts_v)
 WHERE from_id IN (SELECT card_id FROM cards_v WHERE outcome = 'RECURRED')

@@ -78,7 +78,7 @@ def like(c: Column, pattern: Column) -> Column:
 
 def split_list(c: Column, sep: str) -> Column:
     """Trimmed non-empty items of a delimited string; NULL gives an empty array."""
-    items = F.transform(F.split(F.coalesce(c, F.lit("")), "\\" + sep), F.trim)
+    items = F.transform(F.split(F.coalesce(c, F.lit("")), "\\" + sep), lambda x: F.trim(x))
     return F.filter(items, lambda x: x != "")
 
 

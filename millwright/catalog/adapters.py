@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.exprs import add_hours, from_micros, micros
 from millwright.params import CardParams, EpisodeParams, Lexicon, QuestionRules, SensorParams
+from millwright.session import spread
 from millwright.sources.tables import load
 
 # Thresholds that leave episodes in the test events; the defaults leave almost none.
@@ -133,7 +134,7 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as handover notes, one every minute from 2024-01-01."""
-    d = load(spark, sf, "documents")
+    d = spread(load(spark, sf, "documents"))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return d.select(
         F.concat(F.lit("HN-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("note_id"),

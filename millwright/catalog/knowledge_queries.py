@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millwright.catalog import adapters as a
 from millwright.catalog.sensor_queries import active_frame
 from millwright.catalog.sql import compose, define, near
-from millwright.functions.exprs import out
+from millwright.functions.exprs import exploded, out
 from millwright.functions.text import tokens as token_column
 from millwright.operators import cards as cd
 from millwright.operators import extraction as ex
@@ -163,8 +163,7 @@ def edges_for(spark, sf):
 
 
 def tokens(spark, sf):
-    return a.notes(spark, sf).select("note_id", F.posexplode(token_column(F.col("note_text"), RULES)).alias(
-        "pos", "token"))
+    return exploded(a.notes(spark, sf), token_column(F.col("note_text"), RULES), ["note_id"], "token", "pos")
 
 
 def _docs(spark, sf):

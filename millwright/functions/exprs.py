@@ -92,9 +92,14 @@ def parse_parts(c: Column) -> Column:
     return F.transform(split_list(c, ";"), one)
 
 
+def first_match(c: Column, pattern: str, group: int = 1) -> Column:
+    """First match of a pattern's group, '' when there is none. Case and word boundaries follow Unicode."""
+    return F.regexp_extract(c, "(?iU)" + pattern, group)
+
+
 def find(c: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a pattern's group, NULL when there is none. Case and word boundaries follow Unicode."""
-    return empty_to_null(F.regexp_extract(c, "(?iU)" + pattern, group))
+    """First match of a pattern's group, NULL when there is none."""
+    return empty_to_null(first_match(c, pattern, group))
 
 
 def search(c: Column, pattern: str) -> Column:
@@ -126,3 +131,14 @@ def out(c: Column, digits: int = 4) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``; lambdas have no common-subexpression step."""
     return F.transform(F.array(value), body)[0]
+
+
+def exploded(df, array: Column, keep: list, value: str, pos: str | None = None):
+    """One row per array element, like explode, for arrays that are costly to compute.
+
+    A plain explode makes Catalyst infer a size(array) > 0 filter below it, which computes the array a second time
+    and ahead of any repartitioning; the outer form followed by a filter on its own output does not.
+    """
+    index = pos or "__pos"
+    rows = df.select(*keep, F.posexplode_outer(array).alias(index, value)).filter(F.col(index).isNotNull())
+    return rows if pos else rows.drop(index)

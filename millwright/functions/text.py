@@ -11,9 +11,9 @@ from millwright.params import Lexicon, TokenRules
 
 def split_sentences(c: Column) -> Column:
     """Trimmed non-empty sentences in order; a sentence ends at ``.``, ``!`` or ``?`` before white space."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?U)(?<=[.!?])\s+")
-    stripped = F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    return F.filter(stripped, lambda s: s != "")
+    # Splitting eats the white space between sentences, so only the ends of the whole text need trimming.
+    trimmed = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.filter(F.split(trimmed, r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
 
 
 def classify(c: Column, lexicon: Lexicon = Lexicon()) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.functions.exprs import any_contains, empty_to_null, find, let, response_cards
+from millwright.functions.exprs import any_contains, empty_to_null, exploded, first_match, let, response_cards
 from millwright.functions.text import classify, split_sentences
 from millwright.params import Lexicon
 
@@ -44,11 +44,11 @@ def pending(sources: DataFrame, log: DataFrame, max_rows: int | None = None) ->
 
 def sentences(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per sentence with its position from 0."""
-    return df.select(*keep, F.posexplode(split_sentences(F.col(text))).alias("pos", "sentence"))
+    return exploded(df, split_sentences(F.col(text)), [*keep], "sentence", "pos")
 
 
 def _facts(sentence: Column, lexicon: Lexicon) -> Column:
-    """What one sentence says on its own: asset mention, failure mode and card type."""
+    """What one sentence says on its own: asset mention (or ''), failure mode and card type."""
     def with_mode(f):
         low, mode = f["low"], f["mode"]
         explicit = any_contains(low, lexicon.explicit_fix)
@@ -56,7 +56,7 @@ def _facts(sentence: Column, lexicon: Lexicon) -> Column:
                 .when(any_contains(low, lexicon.gotcha), "GOTCHA")
                 .when(any_contains(low, lexicon.symptom) & mode.isNotNull(), "SYMPTOM_PATTERN")
                 .when(any_contains(low, lexicon.fix) & mode.isNotNull(), F.when(explicit, "FIX!").otherwise("FIX")))
-        return F.struct(sentence.alias("sentence"), F.upper(find(sentence, lexicon.asset_pattern)).alias("asset"),
+        return F.struct(sentence.alias("sentence"), F.upper(first_match(sentence, lexicon.asset_pattern)).alias("asset"),
                         mode.alias("mode"), kind.alias("kind"),
                         any_contains(low, lexicon.recurred).alias("recurred"))
 
@@ -67,13 +67,13 @@ def _facts(sentence: Column, lexicon: Lexicon) -> Column:
 def asset_context(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """Card-worthy sentences of a note with the last asset mentioned so far; none before the first mention."""
     facts = F.transform(split_sentences(text), lambda s: _facts(s, lexicon))
-    useful = F.filter(facts, lambda f: f["asset"].isNotNull() | f["kind"].isNotNull())
+    useful = F.filter(facts, lambda f: (f["asset"] != "") | f["kind"].isNotNull())
     element = "STRUCT<sentence: STRING, asset: STRING, mode: STRING, kind: STRING, recurred: BOOLEAN>"
     start = F.struct(F.lit(None).cast("string").alias("asset"),
                      F.array().cast(f"ARRAY<{element}>").alias("kept"))
 
     def step(acc, f):
-        asset = F.coalesce(f["asset"], acc["asset"])
+        asset = F.when(f["asset"] != "", f["asset"]).otherwise(acc["asset"])
         row = F.struct(f["sentence"].alias("sentence"), asset.alias("asset"), f["mode"].alias("mode"),
                        f["kind"].alias("kind"), f["recurred"].alias("recurred"))
         kept = F.when(asset.isNotNull() & f["kind"].isNotNull(), F.array_append(acc["kept"], row)).otherwise(
@@ -138,7 +138,7 @@ def _time(at: Column | str) -> Column:
 
 def number_cards(extracted: DataFrame, by: str, at: Column | str) -> DataFrame:
     """Card rows numbered from 1 within their source, in the stored shape."""
-    rows = extracted.select(*SOURCE_KEY, F.posexplode("cards").alias("__pos", "card"))
+    rows = exploded(extracted, F.col("cards"), SOURCE_KEY, "card", "__pos")
     return rows.select(*SOURCE_KEY, (F.col("__pos") + 1).alias("card_seq"), *[f"card.{f}" for f in CARD_FIELDS],
                        F.lit(by).alias("extracted_by"), _time(at).alias("extracted_at"))
 

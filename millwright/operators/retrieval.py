@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.functions.exprs import micros
+from millwright.functions.exprs import exploded, micros
 from millwright.functions.text import tokens
 from millwright.operators.intervals import positions
 from millwright.params import RankParams, TokenRules
@@ -49,12 +49,28 @@ def tokenised(df: DataFrame, text: str, rules: TokenRules = TokenRules()) -> Dat
 def corpus_stats(docs: DataFrame, doc_id: str) -> DataFrame:
     """(term, df, n_docs, avg_len) of a tokenised corpus; the totals repeat on every row."""
     totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    terms = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
+    terms = exploded(docs, F.array_distinct("tokens"), [], "term").groupBy("term").agg(
         F.count("*").alias("df"))
     n_docs, avg_len = totals.first()
     return terms.select("term", "df", F.lit(n_docs).alias("n_docs"), F.lit(avg_len).alias("avg_len"))
 
 
+_LENGTH_MARK = ""  # never a token, so a posting with this term stands for the document itself
+
+
+def _postings(docs: DataFrame, vocabulary: DataFrame, on: list[str]) -> DataFrame:
+    """(__d, scope, doc_len, term, tf) of the vocabulary terms, plus one length mark per document.
+
+    The marks keep every document in the corpus figures, so one pass over the texts is enough. Tokens meet the
+    vocabulary before anything is shuffled when Spark finds it small enough to broadcast.
+    """
+    marked = docs.withColumn("tokens", F.array_append("tokens", F.lit(_LENGTH_MARK)))
+    wanted = vocabulary.unionByName(vocabulary.sparkSession.sql(f"SELECT '{_LENGTH_MARK}' AS term"))
+    tokens_only = exploded(marked, F.col("tokens"), ["__d", *on, "doc_len"], "term")
+    return tokens_only.join(staged(wanted, "vocabulary"), "term", "left_semi").groupBy(
+        "__d", *on, "doc_len", "term").agg(F.count("*").alias("tf"))
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id",
               scope: str | None = None, params: RankParams = RankParams()) -> DataFrame:
     """The ``k`` best documents per query: (query_id, doc_id, score, position from 0).
@@ -63,20 +79,17 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "quer
     length and document frequencies are those of that part of the corpus. A query term counts as often as it is
     repeated. Documents without a common term are left out; equal scores go to the smaller id.
 
-    Document tokens are reduced to the query vocabulary before anything is shuffled, and the postings that remain
-    are written once because document frequencies and scores both need them.
+    Documents are tokenised once and written as postings of the query vocabulary; corpus figures, document
+    frequencies and scores all come from those.
     """
     on = [scope] if scope else []
-    terms = staged(queries.select(F.col(query_id).alias("__q"), *on, F.explode("tokens").alias("term")).groupBy(
+    terms = staged(exploded(queries, F.col("tokens"), [F.col(query_id).alias("__q"), *on], "term").groupBy(
         "__q", *on, "term").agg(F.count("*").alias("q_tf")), "query_terms")
-    vocabulary = terms.select(*on, "term").distinct()
     sized = docs.select(F.col(doc_id).alias("__d"), *on, F.size("tokens").alias("doc_len"), "tokens")
-    totals = sized.groupBy(*on).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-
-    postings = staged(
-        sized.select("__d", *on, "doc_len", F.explode("tokens").alias("term")).join(
-            vocabulary, [*on, "term"], "left_semi").groupBy("__d", *on, "doc_len", "term").agg(
-            F.count("*").alias("tf")), "postings")
+    written = staged(_postings(sized, terms.select("term").distinct(), on), "postings")
+    marks = F.col("term") == _LENGTH_MARK
+    postings = written.filter(~marks)
+    totals = written.filter(marks).groupBy(*on).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     df = postings.groupBy(*on, "term").agg(F.count("*").alias("df"))
     if scope:
         weighted = df.join(totals, scope)

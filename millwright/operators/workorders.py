@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.functions.exprs import add_hours, micros, parse_parts, split_list
+from millwright.functions.exprs import add_hours, exploded, micros, parse_parts, split_list
 from millwright.operators.intervals import positions
 from millwright.operators.retrieval import top
 from millwright.params import WorkflowParams
@@ -49,7 +49,7 @@ def first_evidence(evidence: DataFrame, params: WorkflowParams = WorkflowParams(
 
 def recommend_parts(evidence: DataFrame) -> DataFrame:
     """How often each part was used by the resolved fixes of an anomaly."""
-    used = evidence.filter(F.col("use") == "fix").select("anomaly_id", F.explode(parse_parts(F.col("parts"))).alias("p"))
+    used = exploded(evidence.filter(F.col("use") == "fix"), parse_parts(F.col("parts")), ["anomaly_id"], "p")
     return used.groupBy("anomaly_id", F.col("p.part").alias("part_id")).agg(F.count("*").alias("n_used"))
 
 

@@ -55,3 +55,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work all cores when a scan has fewer splits than the cluster has cores.
+
+    Only for plain scans: they know their splits without running anything. Such an input is small by definition (at
+    most one split per core), so moving it once is cheap; larger inputs are left alone.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

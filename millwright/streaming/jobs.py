@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millwright.functions.exprs import boundary_diff, from_micros, micros
 from millwright.operators import scoring
@@ -122,8 +123,9 @@ def stream_recurrences(orders: DataFrame, path: str, days: int = 14):
         first_report, first_close = new.agg(F.min("reported_at"), F.min("closed_at")).first()
         found = _again(new, new, days)
         if batch_id > 0 and first_report is not None:
-            stored = spark.read.schema(fixes.schema.add("batch", "int")).parquet(f"{path}/orders").filter(
-                F.col("batch") < batch_id).drop("batch")
+            # Partition folders of later, failed attempts may exist; only finished batches count.
+            layout = StructType([*fixes.schema.fields, StructField("batch", IntegerType())])
+            stored = spark.read.schema(layout).parquet(f"{path}/orders").filter(F.col("batch") < batch_id).drop("batch")
             since = F.lit(first_report).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
             found = found.unionByName(_again(stored.filter(F.col("closed_at") >= since), new, days)).unionByName(
                 _again(new, stored.filter(F.col("reported_at") > F.lit(first_close).cast("timestamp_ntz")), days))

@@ -125,7 +125,8 @@ def out(c: Column, digits: int = 4) -> Column:
 
     Summation order leaves noise in the last bits of a double; dropping it first keeps exact halves stable.
     """
-    return F.round(F.round(c.cast("double"), 9), digits)
+    steady = F.rint(c.cast("double") * 1e9) / 1e9  # plain arithmetic; F.round goes through BigDecimal
+    return F.round(steady, digits)
 
 
 def let(value: Column, body) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millwright.functions.exprs import add_hours, boundary_diff, stamp
 from millwright.operators.scoring import FLAGS, RESIDUAL_NAMES
 from millwright.params import EpisodeParams
+from millwright.session import small_side
 
 BITS = tuple("s" + f[1:] for f in FLAGS)
 _SENSOR_WORDS = dict(zip(BITS, ("vibration", "temperature", "pressure-drop", "current", "current-noise",
@@ -92,7 +93,7 @@ def anomalies(hours: DataFrame, hourly: DataFrame, assets: DataFrame, params: Ep
     of every asset.
     """
     ep = _episode_stats(hours).filter(F.col("duration_h") >= params.min_duration_h)
-    joined = ep.join(assets.select("asset_id", "asset_type", "line_id"), "asset_id").join(
+    joined = ep.join(small_side(assets.select("asset_id", "asset_type", "line_id")), "asset_id").join(
         last_hour(hourly), "asset_id")
     if live == "last":
         active = F.col("start_hr") == F.max("start_hr").over(Window.partitionBy("asset_id"))

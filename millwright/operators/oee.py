@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.exprs import safe_ratio
+from millwright.session import small_side
 
 _SUMS = {"planned_min": "planned_time_min", "run_min": "run_time_min", "downtime_min": "downtime_min",
          "total_count": "total_count", "good_count": "good_count"}
@@ -34,7 +35,7 @@ def oee_daily(production: DataFrame, assets: DataFrame) -> DataFrame:
     """
     per_day = production.groupBy("asset_id", "line_id", F.col("shift_date").alias("oee_date")).agg(
         F.count("*").alias("shifts"), *_sums())
-    named = per_day.join(assets.select("asset_id", "asset_name", "asset_type"), "asset_id")
+    named = per_day.join(small_side(assets.select("asset_id", "asset_name", "asset_type")), "asset_id")
     return _with_factors(named).withColumn("scrap_count", F.col("total_count") - F.col("good_count"))
 
 
@@ -63,7 +64,7 @@ def last_days(df: DataFrame, date_col: str, days: int, newest: dt.date | None =
 
 
 def _known(production: DataFrame, assets: DataFrame) -> DataFrame:
-    return production.join(assets.select("asset_id"), "asset_id", "left_semi")
+    return production.join(small_side(assets.select("asset_id")), "asset_id", "left_semi")
 
 
 def oee_line_last_days(production: DataFrame, days: int = 30) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTINGS = {
     # Plant-local wall-clock times are timestamp_ntz; UTC keeps their casts to and from timestamp loss-free.
@@ -57,6 +58,14 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast for a narrow dimension once its row count is known to be small; larger ones join by shuffle.
+
+    For dimensions built from other tables, whose estimated size says little about the real one.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give CPU-heavy row work all cores when a scan has fewer splits than the cluster has cores.
 

@@ -80,7 +80,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "quer
     repeated. Documents without a common term are left out; equal scores go to the smaller id.
 
     Documents are tokenised once and written as postings of the query vocabulary; corpus figures, document
-    frequencies and scores all come from those.
+    frequencies and scores all come from those. Scoring is exhaustive: its work is the number of postings hit by
+    query terms, summed per (query, document) before the shuffle, and the per-query top k is cut before it as well.
     """
     on = [scope] if scope else []
     terms = staged(exploded(queries, F.col("tokens"), [F.col(query_id).alias("__q"), *on], "term").groupBy(

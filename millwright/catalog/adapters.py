@@ -106,20 +106,21 @@ def corrective(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def technicians(spark: SparkSession, sf: str) -> DataFrame:
-    """The first customers as technicians T0..T7."""
-    c = load(spark, sf, "customer").filter(F.col("c_custkey") < 8)
+    """Customers as technicians."""
+    c = load(spark, sf, "customer")
     return c.select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("technician_id"),
                     F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("seniority"),
                     (F.col("c_custkey") % 4 == 0).alias("retiring_2027"))
 
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events_k(spark, sf).filter(F.col("k") % 10 == 0)
+    """Small event values as asset changes."""
+    e = _events_k(spark, sf).filter(F.col("value") < 5)
     k = F.col("k")
     return e.select(
         F.concat(F.lit("CH-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("change_id"),
         F.col("event_type").alias("asset_id"), F.col("ts").alias("changed_at"),
-        F.when(k % 30 == 0, "LUBRICANT_CHANGE").when(k % 20 == 0, "FIRMWARE_UPDATE").otherwise("PART_REPLACEMENT")
+        F.when(k % 3 == 0, "LUBRICANT_CHANGE").when(k % 3 == 1, "FIRMWARE_UPDATE").otherwise("PART_REPLACEMENT")
         .alias("change_type"),
         F.concat(F.lit("change "), F.col("event_id").cast("string")).alias("description"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millwright.catalog import adapters as a
 from millwright.catalog import knowledge_queries as kq
-from millwright.catalog.sensor_queries import active_frame, hourly_frame, hours_frame, window_frames, anomaly_frames
+from millwright.catalog.sensor_queries import anomaly_frames, hourly_frame, hours_frame, window_frames
 from millwright.catalog.sql import compose, define, near
 from millwright.functions.exprs import out
 from millwright.operators import extraction as ex
@@ -63,7 +63,7 @@ def row_counts(spark, sf):
 
 
 def update_by_key(spark, sf):
-    """Close the open orders of one week."""
+    """Close the open orders."""
     orders = a.orders_wo(spark, sf).select("wo_id", "status", "downtime_min", "technician_id")
     changes = orders.filter(F.col("status") == "OPEN").select(
         "wo_id", F.lit("CLOSED").alias("status"), (F.col("downtime_min") * 2).alias("downtime_min"),
@@ -105,13 +105,17 @@ def refresh_cards(spark, sf):
 
 
 # ---------------------------------------------------------------- drafting and workflow
-def _ranked(spark, sf):
-    active = staged(active_frame(spark, sf), "active")
-    return active, staged(recall_cards(active, kq.cards_frame(spark, sf)), "recalled")
+def _knowledge(spark, sf):
+    """(active anomalies, failure windows, cards, recalled cards), each computed once."""
+    found, windows = window_frames(spark, sf)
+    windows = staged(windows, "windows")
+    active = staged(matching.active_anomalies(found, windows, a.EPISODE), "active")
+    cards = kq.cards_frame(spark, sf)
+    return active, windows, cards, staged(recall_cards(active, cards), "recalled")
 
 
 def _evidence(spark, sf):
-    return workorders.select_evidence(_ranked(spark, sf)[1])
+    return workorders.select_evidence(_knowledge(spark, sf)[3])
 
 
 def select_evidence(spark, sf):
@@ -130,9 +134,8 @@ def recommend_technician(spark, sf):
     return workorders.recommend_technician(_evidence(spark, sf), a.technicians(spark, sf))
 
 
-def drafts_frame(spark, sf):
-    active, ranked = _ranked(spark, sf)
-    _, windows = window_frames(spark, sf)
+def drafts_frame(spark, sf, knowledge=None):
+    active, windows, _, ranked = knowledge or _knowledge(spark, sf)
     return workorders.draft_orders(active, windows, ranked, a.parts(spark, sf), a.technicians(spark, sf), _now())
 
 
@@ -273,9 +276,10 @@ def decide_tool(spark, sf):
 
 
 def answers_frame(spark, sf):
-    active = staged(active_frame(spark, sf), "active")
+    knowledge = _knowledge(spark, sf)
+    active, _, cards, _ = knowledge
     return questions.answer_questions(
-        a.questions(spark, sf), plant_tables(spark, sf), kq.cards_frame(spark, sf), active, drafts_frame(spark, sf),
+        a.questions(spark, sf), plant_tables(spark, sf), cards, active, drafts_frame(spark, sf, knowledge),
         a.QUESTION_RULES)
 
 

@@ -75,13 +75,13 @@ define("orders_v", "SELECT * FROM orders_all_v WHERE wo_type = 'CORRECTIVE'")
 define("technicians_v", """
 SELECT 'T' || CAST(c_custkey AS VARCHAR) AS technician_id, c_name AS full_name, c_mktsegment AS seniority,
        c_custkey % 4 = 0 AS retiring_2027
-FROM customer WHERE c_custkey < 8""")
+FROM customer""")
 define("changes_v", """
 SELECT 'CH-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS change_id, event_type AS asset_id, ts AS changed_at,
-       CASE WHEN k % 30 = 0 THEN 'LUBRICANT_CHANGE' WHEN k % 20 = 0 THEN 'FIRMWARE_UPDATE'
+       CASE k % 3 WHEN 0 THEN 'LUBRICANT_CHANGE' WHEN 1 THEN 'FIRMWARE_UPDATE'
             ELSE 'PART_REPLACEMENT' END AS change_type,
        'change ' || CAST(event_id AS VARCHAR) AS description
-FROM events_k_v WHERE k % 10 = 0""")
+FROM events_k_v WHERE value < 5""")
 define("parts_v", """
 SELECT CAST(p_partkey AS VARCHAR) AS part_id, p_name AS description, CAST(p_size AS BIGINT) AS stock_qty,
        p_partkey % 25 AS reorder_point, p_partkey % 45 AS lead_time_days

@@ -172,7 +172,7 @@ def recall(active: DataFrame, cards: DataFrame, params: RankParams = RankParams(
 
     ``role`` says what a card is good for: fix, gotcha or symptom (NULL for conventions and unresolved fixes).
     """
-    queries = tokenised(recall_queries(active), "query_text", rules)
+    queries = staged(tokenised(recall_queries(active), "query_text", rules), "recall_queries")
     docs = tokenised(card_documents(cards.filter(F.col("asset_id").isNotNull())), "doc_text", rules).select(
         "card_id", "asset_id", "tokens")
     hits = bm25_topk(queries, docs, params.recall_limit, "anomaly_id", "card_id", "asset_id", params).select(

@@ -92,9 +92,12 @@ def stream_cards(sources: DataFrame, paths: CardPaths, by: str, at, lexicon: Lex
 
     A source that arrives twice with the same text adds nothing.
     """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        extract_new(batch, paths, by, at, lexicon)
+
     checkpoint = fresh_path(sources.sparkSession, "cards-checkpoint")
-    query = sources.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
-        lambda df, _: extract_new(df, paths, by, at, lexicon) and None).start()
+    query = sources.writeStream.option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).foreachBatch(step).start()
     query.awaitTermination()
     return query
 

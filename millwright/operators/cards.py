@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millwright.functions.exprs import boundary_diff, from_micros, micros, unit_index
 from millwright.operators.intervals import HOUR_US, count_until, interval_min, positions
 from millwright.params import CardParams
+from millwright.session import staged
 
 DAY_US = 24 * HOUR_US
 MINUTE_US = 60_000_000
@@ -42,16 +43,19 @@ def fixing_changes(changes: DataFrame, work_orders: DataFrame, minutes: int = 60
 
 def stale_cards(raw: DataFrame, sources: DataFrame, changes: DataFrame, fixing: DataFrame,
                 params: CardParams = CardParams()) -> DataFrame:
-    """Warnings and conventions whose asset got a new part or firmware after the text was written."""
+    """Warnings and conventions whose asset got a new part or firmware after the text was written.
+
+    Both inputs come out of joins and are read several times below, so their few key columns are written once.
+    """
     relevant = changes.filter(F.col("change_type").isin(*params.stale_change_types)).join(
-        fixing, "change_id", "left_anti")
+        fixing, "change_id", "left_anti").select("asset_id", "changed_at", "description")
     key = F.struct("source_type", "source_id", "card_seq")
     probes = raw.filter(F.col("card_type").isin(*params.stale_card_types)).select(
         "source_type", "source_id", "card_seq", "asset_id").join(
         sources.select("source_type", "source_id", "source_ts"), ["source_type", "source_id"]).select(
         key.alias("card"), "asset_id", "source_ts")
     found = interval_min(
-        probes, relevant, ["asset_id"], "card", lo=micros(F.col("source_ts")) + 1, at=micros(F.col("changed_at")),
+        staged(probes, "stale_probes"), staged(relevant, "stale_changes"), ["asset_id"], "card", lo=micros(F.col("source_ts")) + 1, at=micros(F.col("changed_at")),
         values={"first_change_at": F.col("changed_at"), "change_description": F.col("description")}, length_us=None)
     return found.select("card.*", "first_change_at", "change_description")
 

@@ -145,9 +145,9 @@ b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS phrase
         FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+spot AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-found AS (SELECT doc_id, i, at.n, item_id FROM at JOIN win ON at.phrase = win.phrase AND at.n = win.n),
+found AS (SELECT doc_id, i, win.n, item_id FROM spot JOIN win ON spot.phrase = win.phrase AND spot.n = win.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
         FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids

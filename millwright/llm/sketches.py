@@ -50,8 +50,8 @@ def digests(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _cells(key: np.ndarray, width: int) -> np.ndarray:
     """The cell of each key in each sub-table, n x 3."""
-    return np.stack([(mix(key + np.uint64(j + 1) * _CHECK) % np.uint64(width)).astype(np.int64) + j * width
-                     for j in range(_SUBTABLES)], axis=1)
+    salts = np.arange(1, _SUBTABLES + 1, dtype=np.uint64) * _CHECK
+    return (mix(key[:, None] + salts) % np.uint64(width)).astype(np.int64) + np.arange(_SUBTABLES) * width
 
 
 class Sketch:

@@ -68,7 +68,8 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     later = later_copies(repeated_suffixes(docs, min_lines))
     gone = staged(later.select("doc_id", F.explode(F.sequence("line", F.col("line") + min_lines - 1)).alias("line"))
                   .groupBy("doc_id").agg(F.collect_set("line").alias("__gone")), "gone")
-    gone = gone.withColumnRenamed("doc_id", "__doc")
+    # The list of deletions grows with the corpus, so it is joined by merging at every size and never broadcast.
+    gone = gone.withColumnRenamed("doc_id", "__doc").hint("merge")
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")

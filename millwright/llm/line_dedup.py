@@ -54,7 +54,7 @@ def repeated_suffixes(docs: DataFrame, min_lines: int = 2) -> DataFrame:
 
 def later_copies(suffixes: DataFrame) -> DataFrame:
     """(doc_id, line) of the suffixes of each interval but the first in document order; the first is a minimum."""
-    first = suffixes.groupBy("rank").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    first = staged(suffixes.groupBy("rank").agg(F.min(F.struct("doc_id", "line")).alias("first")), "first")
     return suffixes.join(first, "rank").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
 
 

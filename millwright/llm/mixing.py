@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
                     .otherwise(F.col("share")).alias("target"), "full")
 
 
-def mix_sources(docs: DataFrame, seed: int = 7, weight: Column | None = None, per_bucket: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 7, weight: Column | None = None, per_bucket: int = 2_000) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per input row; ``taken`` counts words.
 
     Every document is taken for as many complete epochs as its source's target holds. The rest goes to documents in the

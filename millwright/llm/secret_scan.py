@@ -96,8 +96,8 @@ def _clauses(nodes) -> list[frozenset[frozenset[str]]]:
 
     def close(strings: set[str]) -> None:
         grams = [frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in strings]
-        if all(grams):
-            out.append(frozenset(grams))
+        if all(grams):  # an option that asks for more than another one adds nothing
+            out.append(frozenset(g for g in grams if not any(less < g for less in grams)))
 
     for node in nodes:
         part = _strings(node)

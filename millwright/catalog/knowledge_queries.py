@@ -159,7 +159,7 @@ def edges_for(spark, sf):
     """Edges of every recurred fix."""
     found = cards_frame(spark, sf)
     ids = found.filter(F.col("outcome") == "RECURRED").select(F.col("card_id").alias("id"))
-    return cd.edges_for(cd.edges_about(found).unionByName(cd.edges_contradicts(found)), ids)
+    return cd.edges_for(cd.edges(found), ids)
 
 
 def tokens(spark, sf):
@@ -492,7 +492,7 @@ SELECT * FROM (
     "edges_supersedes": compose("SELECT * FROM supersedes_v"),
     "edges": compose("SELECT * FROM edges_v"),
     "edges_for": compose("""
-SELECT * FROM (SELECT * FROM about_v UNION ALL SELECT * FROM contradicts_v)
+SELECT * FROM (SELECT * FROM about_v UNION ALL SELECT * FROM contradicts_v UNION ALL SELECT * FROM supersedes_v)
 WHERE from_id IN (SELECT card_id FROM cards_v WHERE outcome = 'RECURRED')
    OR to_id IN (SELECT card_id FROM cards_v WHERE outcome = 'RECURRED')"""),
     "tokens": compose(f"""

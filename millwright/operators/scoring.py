@@ -70,41 +70,56 @@ def smooth(df: DataFrame, n: int = 3) -> DataFrame:
     return df.select(*keep, *[F.avg(f"r_{c}").over(w).alias(f"s_{c}") for c in (*LEVELS, *NOISE)])
 
 
-def rolling_baseline(df: DataFrame, lo: int = 192, hi: int = 24, method: str = "prefix",
+def rolling_baseline(df: DataFrame, lo: int = 192, hi: int = 24, method: str = "blocks",
                      block_rows: int = 4096) -> DataFrame:
     """Mean, standard deviation and row count over the rows ``lo`` to ``hi`` before each row (rows, not hours).
 
-    ``prefix`` subtracts running sums and does constant work per row. Residuals are near 0 and later floors hide
-    deviations below 0.25, so the subtraction loses nothing that matters. ``direct`` re-reads the frame for every
-    row. ``chunked`` does so on blocks of rows that carry the preceding ``lo`` rows along, for few assets with very
-    long histories.
+    ``blocks`` does constant work per row: a frame is the tail of one block of rows as long as the frame and the head of
+    the next, whose counts, means and squared deviations are merged. A value counts only in frames that hold it, so a
+    spike, a NaN or an infinity leaves no trace afterwards. ``direct`` re-reads the frame for every row. ``chunked``
+    does so on blocks of rows that carry the preceding ``lo`` rows along.
     """
     if method == "direct":
         return _direct(df, _by_asset(), lo, hi)
     if method == "chunked":
         return _chunked(df, lo, hi, block_rows)
-    if method != "prefix":
+    if method != "blocks":
         raise ValueError(f"unknown method {method}")
-    running = _by_asset().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = {c: F.col(f"s_{c}") for c in LEVELS}
-    parts = {"n": lambda c: F.count(x[c]), "s": lambda c: F.sum(x[c]), "q": lambda c: F.sum(x[c] * x[c])}
-    sums = df.select("*", F.row_number().over(_by_asset()).alias("__rn"),
-                     *[F.coalesce(f(c).over(running), F.lit(0)).alias(f"__{p}_{c}")
-                       for c in LEVELS for p, f in parts.items()])
-    w = _by_asset()
-
-    def framed(name):
-        return F.coalesce(F.lag(name, hi).over(w), F.lit(0)) - F.coalesce(F.lag(name, lo + 1).over(w), F.lit(0))
-
-    diffs = sums.select(*df.columns, "__rn", *[framed(f"__{p}_{c}").alias(f"__{p}_{c}") for c in LEVELS for p in parts])
+    size = lo - hi + 1
+    rows = df.withColumn("__rn", F.row_number().over(_by_asset()))
+    rows = rows.withColumn("__block", F.floor((F.col("__rn") - 1) / size))
+    block = Window.partitionBy("asset_id", "__block")
+    ends = {"head": block.orderBy("hr"), "tail": block.orderBy(F.col("hr").desc())}
+
+    def moments(c, end):
+        w = ends[end].rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        x = F.col(f"s_{c}")
+        return F.struct(F.count(x).over(w).alias("n"), F.avg(x).over(w).alias("mean"),
+                        F.var_pop(x).over(w).alias("var")).alias(f"__{end}_{c}")
+
+    parts = rows.select("*", *[moments(c, end) for end in ends for c in LEVELS])
+    # The tail begins where the frame begins; one that begins with a block is the whole block, which the head has.
+    starts_inside = (F.col("__rn") > lo) & ((F.col("__rn") - lo - 1) % size != 0)
+    parts = parts.select(*df.columns, "__rn", *[
+        F.lag(f"__head_{c}", hi).over(_by_asset()).alias(f"__head_{c}") for c in LEVELS], *[
+        F.when(starts_inside, F.lag(f"__tail_{c}", lo).over(_by_asset())).alias(f"__tail_{c}") for c in LEVELS])
     cols = []
     for c in LEVELS:
-        n, s, q = (F.col(f"__{p}_{c}") for p in ("n", "s", "q"))
-        cols.append(F.when(n > 0, s / n).alias(f"m_{c}"))
-        spread = F.greatest(q - s * s / F.nullif(n, F.lit(0)), F.lit(0.0))
-        cols.append(F.when(n > 1, F.sqrt(spread / F.nullif(n - 1, F.lit(0)))).alias(f"sd_{c}"))
-    n_base = F.greatest(F.least(F.col("__rn") - hi, F.lit(lo - hi + 1)), F.lit(0)).cast("bigint")
-    return diffs.select(*df.columns, *cols, n_base.alias("n_base"))
+        head, tail = F.col(f"__head_{c}"), F.col(f"__tail_{c}")
+        n_head, n_tail = (F.coalesce(p["n"], F.lit(0)) for p in (head, tail))
+        n = n_head + n_tail
+        both = (n_head > 0) & (n_tail > 0)
+        apart = head["mean"] - tail["mean"]
+        mean = F.when(both, (head["mean"] * n_head + tail["mean"] * n_tail) / n).otherwise(
+            F.coalesce(head["mean"], tail["mean"]))
+        squares = (F.when(n_head > 0, head["var"] * n_head).otherwise(0.0)
+                   + F.when(n_tail > 0, tail["var"] * n_tail).otherwise(0.0)
+                   + F.when(both, apart * apart * n_head * n_tail / n).otherwise(0.0))
+        cols.append(F.when(n > 0, mean).alias(f"m_{c}"))
+        squares = F.when(F.abs(mean) == float("inf"), float("nan")).otherwise(squares)
+        cols.append(F.when(n > 1, F.sqrt(squares / (n - 1))).alias(f"sd_{c}"))
+    n_base = F.greatest(F.least(F.col("__rn") - hi, F.lit(size)), F.lit(0)).cast("bigint")
+    return parts.select(*df.columns, *cols, n_base.alias("n_base"))
 
 
 def _direct(df: DataFrame, window, lo: int, hi: int) -> DataFrame:
@@ -152,7 +167,7 @@ def flags(df: DataFrame, params: SensorParams = SensorParams()) -> DataFrame:
 
 
 def sensor_scores(hours: DataFrame, params: SensorParams = SensorParams(), profile: DataFrame | None = None,
-                  method: str = "prefix") -> DataFrame:
+                  method: str = "blocks") -> DataFrame:
     """Hourly figures to flags. A stored ``profile`` replaces the one taken from these hours."""
     r = residuals(hours, hod_profile(hours) if profile is None else profile)
     base = rolling_baseline(smooth(r, params.smooth_rows), params.baseline_from, params.baseline_to, method)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SETTINGS = {
     # Plant-local wall-clock times are timestamp_ntz; UTC keeps their casts to and from timestamp loss-free.
@@ -27,18 +25,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting; it then gets a fresh temporary folder for the session.
-    """
+    """The folder all executors share, from ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    local = tempfile.mkdtemp(prefix="millwright-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return shared.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -56,23 +47,3 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast for a narrow dimension once its row count is known to be small; larger ones join by shuffle.
-
-    For dimensions built from other tables, whose estimated size says little about the real one.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work all cores when a scan has fewer splits than the cluster has cores.
-
-    Only for plain scans: they know their splits without running anything. Such an input is small by definition (at
-    most one split per core), so moving it once is cheap; larger inputs are left alone.
-    """
-    if scan.isStreaming:
-        return scan
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -85,7 +85,7 @@ def test_baseline_forms_agree(spark):
     df = series(spark)
     cols = ["asset_id", "hr", "n_base"] + [f"{p}_{c}" for c in scoring.LEVELS for p in ("m", "sd")]
     base = {(r.asset_id, r.hr): r for r in scoring.rolling_baseline(df, method="direct").select(*cols).collect()}
-    for method, args in (("prefix", {}), ("chunked", {"block_rows": 200})):
+    for method, args in (("blocks", {}), ("chunked", {"block_rows": 200})):
         other = scoring.rolling_baseline(df, method=method, **args).select(*cols).collect()
         assert len(other) == len(base)
         for r in other:
@@ -96,6 +96,24 @@ def test_baseline_forms_agree(spark):
                     assert r[c] == pytest.approx(want[c], rel=1e-9, abs=1e-9), (method, c)
 
 
+@pytest.mark.parametrize("bad", [1e9, float("nan"), float("inf"), None])
+def test_baseline_forgets_bad_values(spark, bad):
+    """A spike, NaN, infinity or gap counts in the frames that hold it and in no other."""
+    from pyspark.sql import functions as F
+    df = series(spark, 700, ("A", "B")).withColumn("__nr", F.row_number().over(scoring._by_asset()))
+    for c in scoring.LEVELS:
+        df = df.withColumn(f"s_{c}", F.when(F.col("__nr").isin(1, 50, 169, 170, 339), F.lit(bad).cast("double")).otherwise(F.col(f"s_{c}")))
+    df = df.drop("__nr").cache()
+    cols = ["n_base", *[f"{p}_{c}" for c in scoring.LEVELS for p in ("m", "sd")]]
+    want = scoring.rolling_baseline(df, method="direct").orderBy("asset_id", "hr").select(*cols).collect()
+    got = scoring.rolling_baseline(df).orderBy("asset_id", "hr").select(*cols).collect()
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        for c in cols:
+            assert (g[c] is None) == (w[c] is None), c
+            assert g[c] is None or g[c] == pytest.approx(w[c], rel=1e-9, abs=1e-9, nan_ok=True), c
+
+
 def test_baseline_frame_by_row(spark):
     df = series(spark, 300, ("A",)).orderBy("hr")
     first = df.first().s_vib

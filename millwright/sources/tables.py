@@ -15,6 +15,9 @@ SEARCH_COLUMNS = ("card_id", "search_text", "card_type", "asset_id", "failure_mo
                   "action_taken", "source_type", "source_id", "source_excerpt", "author_name", "confidence",
                   "is_stale")
 
+#: Landing tables without free text: no line breaks inside quotes, so their files can be split among tasks.
+SINGLE_LINE = ("assets", "technicians", "spare_parts", "production_log", "sensor_readings")
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
@@ -24,7 +27,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_csv(spark: SparkSession, directory: str, name: str, schema=None) -> DataFrame:
     """Landing files ``<name>*.csv`` or ``.csv.gz``: header, quoted, empty is NULL, a bad row fails the load."""
     return (spark.read.schema(schema or SCHEMAS[name])
-            .option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("header", True).option("quote", '"').option("escape", '"').option("multiLine", name not in SINGLE_LINE)
             .option("nullValue", "").option("mode", "FAILFAST").option("enforceSchema", False)
             .option("pathGlobFilter", f"{name}*.csv*")
             .csv(directory))
@@ -92,12 +95,17 @@ def refresh_search_docs(cards: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def update_by_key(df: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """New version of ``df`` where non-NULL values of ``changes`` replace the stored ones for matching keys."""
+    """New version of ``df`` where non-NULL values of ``changes`` replace the stored ones for matching keys.
+
+    A key that ``changes`` repeats and ``df`` holds fails the query: which change would count is undefined.
+    """
     changed = [c for c in changes.columns if c not in keys]
-    new = changes.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in changed])
+    new = changes.groupBy(*keys).agg(F.count("*").alias("__times"), *[F.first(c).alias(f"__new_{c}") for c in changed])
     joined = df.join(new, keys, "left")
+    once = F.when(F.col("__times") > 1, F.raise_error(F.lit("several changes of one key")))
     return joined.select(*[
-        F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in df.columns])
+        once.otherwise(F.coalesce(F.col(f"__new_{c}"), F.col(c))).alias(c) if c in changed else F.col(c)
+        for c in df.columns])
 
 
 def delete_by_key(df: DataFrame, keys: DataFrame) -> DataFrame:

@@ -87,15 +87,17 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
 
 
 # ---------------------------------------------------------------- incremental jobs
-def stream_cards(sources: DataFrame, paths: CardPaths, by: str, at, lexicon: Lexicon = Lexicon()):
+def stream_cards(sources: DataFrame, paths: CardPaths, by: str, at, lexicon: Lexicon = Lexicon(),
+                 checkpoint: str | None = None):
     """Extract cards of streamed sources into the stored tables; returns the finished query.
 
-    A source that arrives twice with the same text adds nothing.
+    A source that arrives twice with the same text adds nothing. A job that is given the ``checkpoint`` of an earlier
+    run reads only what has arrived since; without one it reads the whole source.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         extract_new(batch, paths, by, at, lexicon)
 
-    checkpoint = fresh_path(sources.sparkSession, "cards-checkpoint")
+    checkpoint = checkpoint or fresh_path(sources.sparkSession, "cards-checkpoint")
     query = sources.writeStream.option("checkpointLocation", checkpoint).trigger(
         availableNow=True).foreachBatch(step).start()
     query.awaitTermination()

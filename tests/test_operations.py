@@ -299,3 +299,12 @@ def test_stream_sessions_split_like_islands(spark, tmp_path):
     s = jobs.stream_sessions(spark.readStream.schema(hours.schema).parquet(str(tmp_path / "h")))
     got = rows(jobs.run_available(s, "complete"), "start_hr", "end_hr", "n_hours")
     assert got == [(D0, D0 + dt.timedelta(hours=4), 3), (D0 + dt.timedelta(hours=8),) * 2 + (1,)]
+
+
+def test_update_refuses_two_changes_of_a_key(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(2, "c"), (2, "d")], "k int, v string")
+    with pytest.raises(Exception, match="several changes"):
+        tb.update_by_key(stored, twice, ["k"]).collect()
+    once = tb.update_by_key(stored, twice.limit(1), ["k"]).collect()
+    assert sorted(map(tuple, once)) == [(1, "a"), (2, "c")]

@@ -41,10 +41,6 @@ def cards_frame(spark, sf):
     return staged(cd.cards(raw, keys, orders, a.technicians(spark, sf), recur, stale), "cards")
 
 
-def order_cards_frame(spark, sf):
-    return cards_frame(spark, sf).filter(F.col("source_type") == "WORK_ORDER")
-
-
 # ---------------------------------------------------------------- queries
 def card_sources(spark, sf):
     return sources_frame(spark, sf)
@@ -84,22 +80,27 @@ def extract_log(spark, sf):
 
 
 def _responses(spark, sf):
-    """Orders with the structured response a model could give; some are missing, some empty."""
-    o = a.orders_wo(spark, sf)
-    n = F.col("downtime_min")
+    """Orders and notes with the structured response a model could give; some are missing, some empty."""
+    orders = a.orders_wo(spark, sf).select(
+        F.lit("WORK_ORDER").alias("source_type"), F.col("wo_id").alias("source_id"), F.col("resolution_note").alias("body"),
+        "asset_id", "failure_mode_code", "parts_used", F.col("downtime_min").cast("long").alias("n"))
+    notes = a.notes(spark, sf).select(
+        F.lit("HANDOVER_NOTE").alias("source_type"), F.col("note_id").alias("source_id"), F.col("note_text").alias("body"),
+        F.length("note_text").cast("long").alias("n"))
+    o = orders.unionByName(notes, allowMissingColumns=True)
+    n = F.col("n")
     first = F.struct(F.lit("FIX").alias("card_type"), F.lit("").alias("asset_id"),
                      F.when(n % 2 == 0, "").otherwise("FMX").alias("failure_mode"),
-                     F.col("resolution_note").alias("symptom_summary"), F.lit("swap").alias("action_taken"),
+                     F.col("body").alias("symptom_summary"), F.lit("swap").alias("action_taken"),
                      F.col("parts_used").alias("parts"), F.lit("RESOLVED").alias("outcome"),
-                     F.substring("resolution_note", 1, 20).alias("source_excerpt"), F.lit(0.9).alias("confidence"))
+                     F.substring("body", 1, 20).alias("source_excerpt"), F.lit(0.9).alias("confidence"))
     second = first.withField("card_type", F.lit("GOTCHA")).withField("asset_id", F.lit("press")).withField(
         "confidence", F.lit(0.5))
     some = F.when(n % 5 == 0, F.array(first, second)).when(n % 5 == 1, F.array(first).cast(
         "array<struct<card_type:string,asset_id:string,failure_mode:string,symptom_summary:string,"
         "action_taken:string,parts:string,outcome:string,source_excerpt:string,confidence:double>>")).otherwise(
         F.slice(F.array(first), 1, 0))
-    return o.select(F.lit("WORK_ORDER").alias("source_type"), F.col("wo_id").alias("source_id"),
-                    F.md5("resolution_note").alias("text_hash"), "asset_id", "failure_mode_code",
+    return o.select("source_type", "source_id", F.md5("body").alias("text_hash"), "asset_id", "failure_mode_code",
                     F.when(n % 7 != 0, F.to_json(F.struct(some.alias("cards")))).alias("resp"))
 
 
@@ -205,9 +206,8 @@ def baseline_retrieve(spark, sf):
 
 
 def _ranked(spark, sf):
-    """All order cards as hits of one query per failure mode, in id order; every fourth card is listed twice."""
-    found = order_cards_frame(spark, sf).filter(F.col("failure_mode").isNotNull())
-    hits = found.withColumn("query_id", F.col("asset_id")).withColumn("mode", F.lit("FM1")).withColumn(
+    """All cards as hits of one query per asset (or none), in the order of a hash; every fourth card is listed twice."""
+    hits = cards_frame(spark, sf).withColumn("query_id", F.coalesce("asset_id", F.lit("-"))).withColumn("mode", F.lit("FM1")).withColumn(
         "warn", F.length("asset_id") % 2 == 0)
     place = F.conv(F.substring(F.md5("card_id"), 1, 6), 16, 10).cast("bigint")
     once = hits.withColumn("position", place)
@@ -422,9 +422,8 @@ def score_sql(mode: str, warn: str, position: str) -> str:
 
 define("ranked_v", f"""
 SELECT *, {score_sql("'FM1'", "length(asset_id) % 2 = 0", "position")} AS score FROM (
-  SELECT *, asset_id AS query_id, place + CASE WHEN place % 4 = 0 THEN 100 ELSE 0 END AS position FROM (
-    SELECT *, CAST('0x' || substr(md5(card_id), 1, 6) AS BIGINT) AS place FROM cards_v
-    WHERE source_type = 'WORK_ORDER' AND failure_mode IS NOT NULL))""")
+  SELECT *, coalesce(asset_id, '-') AS query_id, place + CASE WHEN place % 4 = 0 THEN 100 ELSE 0 END AS position FROM (
+    SELECT *, CAST('0x' || substr(md5(card_id), 1, 6) AS BIGINT) AS place FROM cards_v))""")
 define("recall_list_v", """
 SELECT anomaly_id, card_id, max(position) AS position FROM (
   SELECT q AS anomaly_id, d AS card_id, position FROM recall_hit_v WHERE position < 15
@@ -449,13 +448,16 @@ QUERIES = {f.__name__: f for f in (
     baseline_retrieve, rank_cards, top_cards, recall)}
 
 _RESP = """
-SELECT wo_id AS source_id, md5(resolution_note) AS text_hash, asset_id, failure_mode_code, resolution_note, parts_used,
-       downtime_min AS n FROM orders_all_v WHERE downtime_min % 7 <> 0"""
+SELECT 'WORK_ORDER' AS source_type, wo_id AS source_id, md5(resolution_note) AS text_hash, asset_id, failure_mode_code,
+       resolution_note AS body, parts_used, downtime_min AS n FROM orders_all_v WHERE downtime_min % 7 <> 0
+UNION ALL
+SELECT 'HANDOVER_NOTE', note_id, md5(note_text), NULL, NULL, note_text, NULL, length(note_text)
+FROM notes_v WHERE length(note_text) % 7 <> 0"""
 _FLAT = f"""
-SELECT 'WORK_ORDER' AS source_type, source_id, text_hash, card_seq, CASE card_seq WHEN 1 THEN 'FIX' ELSE 'GOTCHA' END AS card_type,
+SELECT source_type, source_id, text_hash, card_seq, CASE card_seq WHEN 1 THEN 'FIX' ELSE 'GOTCHA' END AS card_type,
        CASE card_seq WHEN 1 THEN asset_id ELSE 'press' END AS asset_id,
-       CASE WHEN n % 2 = 0 THEN failure_mode_code ELSE 'FMX' END AS failure_mode, resolution_note AS symptom_summary,
-       'swap' AS action_taken, parts_used AS parts, 'RESOLVED' AS outcome, substr(resolution_note, 1, 20) AS source_excerpt,
+       CASE WHEN n % 2 = 0 THEN failure_mode_code ELSE 'FMX' END AS failure_mode, body AS symptom_summary,
+       'swap' AS action_taken, parts_used AS parts, 'RESOLVED' AS outcome, substr(body, 1, 20) AS source_excerpt,
        CASE card_seq WHEN 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence
 FROM ({_RESP}), (VALUES (1), (2)) AS v(card_seq) WHERE (n % 5 = 0) OR (n % 5 = 1 AND card_seq = 1)"""
 ORACLES = {
@@ -471,7 +473,7 @@ SELECT s.source_type, s.source_id, s.text_hash, CAST(count(r.card_seq) AS INTEGE
 FROM sources_v s LEFT JOIN raw_v r ON r.source_type = s.source_type AND r.source_id = s.source_id GROUP BY ALL"""),
     "flatten_json": compose(_FLAT),
     "flatten_log": compose(f"""
-SELECT 'WORK_ORDER' AS source_type, source_id, text_hash,
+SELECT source_type, source_id, text_hash,
        CAST(CASE n % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_cards FROM ({_RESP})"""),
     "recurrences": compose("SELECT * FROM recur_v"),
     "fixing_changes": compose("SELECT * FROM fixing_v"),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from millwright.catalog import adapters as a
 from millwright.catalog import knowledge_queries as kq
-from millwright.catalog.sensor_queries import anomaly_frames, hourly_frame, hours_frame, window_frames
-from millwright.catalog.sql import compose, define, near
+from millwright.catalog.sensor_queries import RS, anomaly_frames, hourly_frame, hours_frame, window_frames
+from millwright.catalog.sql import compose, define, near, rounded
 from millwright.functions.exprs import out
 from millwright.operators import extraction as ex
 from millwright.operators import matching, quality, questions, scoring, workorders
@@ -43,10 +43,8 @@ def csv_round_trip(spark, sf):
 
 
 def write_clustered(spark, sf):
-    """Readings stored in (asset, time) order; one asset read back."""
-    path = fresh_path(spark, "readings")
-    stored = tb.write_table(a.readings(spark, sf), path, ["asset_id", "ts"])
-    return tb.by_id(stored, "asset_id", "click")
+    """Readings stored in (asset, time) order and read back."""
+    return tb.write_table(a.readings(spark, sf), fresh_path(spark, "readings"), ["asset_id", "ts"])
 
 
 def append_new(spark, sf):
@@ -394,15 +392,15 @@ def _mean_load(spark, sf):
 
 def stream_hourly(spark, sf):
     hours = jobs.stream_hourly(a.readings(_StreamSource(spark), sf), _mean_load(spark, sf), a.SENSOR)
-    df = jobs.run_available(hours, name="stream-hourly")
+    df = jobs.run_updates(hours, ["asset_id", "hr"], "stream-hourly")
     return df.withColumns({c: out(F.col(c)) for c in (*scoring.LEVELS, "curr_cv", "pres_cv")})
 
 
 def stream_residuals(spark, sf):
     profile = staged(scoring.hod_profile(hourly_frame(spark, sf)), "profile")
     hours = jobs.stream_hourly(a.readings(_StreamSource(spark), sf), _mean_load(spark, sf), a.SENSOR)
-    df = jobs.run_available(jobs.stream_residuals(hours, profile), name="stream-residuals")
-    return df.select("asset_id", "hr", out(F.col("r_vib")).alias("r_vib"), out(F.col("r_temp")).alias("r_temp"))
+    df = jobs.run_updates(jobs.stream_residuals(hours, profile), ["asset_id", "hr"], "stream-residuals")
+    return df.select("asset_id", "hr", *[out(F.col(f"r_{c}")).alias(f"r_{c}") for c in RS])
 
 
 def stream_sessions(spark, sf):
@@ -561,11 +559,10 @@ QUERIES = {f.__name__: f for f in _SIMPLE}
 QUERIES.update({f"vq_{name}": _named(name) for name in NAMED_QUERIES})
 
 _WEEK = "oee_date > (SELECT max(shift_date) FROM production_v) - 7"
-_CLOSED_HOURS = """(SELECT date_trunc('millisecond', max(ts)) FROM readings_v) - INTERVAL 2 HOUR"""
 ORACLES = {
     "csv_round_trip": compose("""
 SELECT note_id, created_at, note_type, md5('"' || note_text || '", said') AS text_hash FROM notes_v"""),
-    "write_clustered": compose("SELECT * FROM readings_v WHERE asset_id = 'click'"),
+    "write_clustered": compose("SELECT * FROM readings_v"),
     "append_new": compose("SELECT wo_id, asset_id, reported_at FROM orders_all_v"),
     "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}"
                                      for t in ("supplier", "events", "orders", "lineitem", "documents")),
@@ -683,10 +680,8 @@ SELECT e.query_id, e.source_id, e.source_id IN (
 FROM (SELECT query_id, max(source_id) AS source_id FROM ranked_v GROUP BY query_id) e"""),
     "stream_hourly": compose(f"""
 SELECT asset_id, hr, {", ".join(f"{near(c)} AS {c}" for c in (*scoring.LEVELS, "curr_cv", "pres_cv"))}, n_readings
-FROM hourly_v WHERE hr + INTERVAL 1 HOUR <= {_CLOSED_HOURS}"""),
-    "stream_residuals": compose(f"""
-SELECT asset_id, hr, {near("r_vib")} AS r_vib, {near("r_temp")} AS r_temp FROM resid_v
-WHERE hr + INTERVAL 1 HOUR <= {_CLOSED_HOURS}"""),
+FROM hourly_v"""),
+    "stream_residuals": compose(f"SELECT asset_id, hr, {rounded(*[f'r_{c}' for c in RS])} FROM resid_v"),
     "stream_sessions": compose(f"""
 SELECT asset_id, min(hr) AS start_hr, max(hr) AS end_hr, count(*) AS n_hours, {near("max(abs(s_vib))")} AS peak_vib_pct
 FROM hours_v GROUP BY asset_id, island"""),

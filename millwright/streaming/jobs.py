@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millwright.functions.exprs import boundary_diff, from_micros, micros
@@ -86,6 +87,26 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_updates(stream: DataFrame, keys: list[str], name: str = "stream", checkpoint: str | None = None,
+                path: str | None = None) -> DataFrame:
+    """Process everything that is there now in update mode, and return the newest row of every key.
+
+    Groups that are still open are included, each batch writes only the rows it changed, and the watermark still bounds
+    the state. A batch that is run again overwrites its own folder. With the ``checkpoint`` and ``path`` of an earlier
+    run only what has arrived since is read.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = path or fresh_path(spark, name), checkpoint or fresh_path(spark, f"{name}-checkpoint")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    query = (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+             .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start())
+    query.awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    rest = F.struct(*[c for c in stream.columns if c not in keys])
+    newest = rows.groupBy(*keys).agg(F.max_by(rest, "batch").alias("newest"))
+    return newest.select(*keys, "newest.*").select(*stream.columns)
+
+
 # ---------------------------------------------------------------- incremental jobs
 def stream_cards(sources: DataFrame, paths: CardPaths, by: str, at, lexicon: Lexicon = Lexicon(),
                  checkpoint: str | None = None):

@@ -308,3 +308,27 @@ def test_update_refuses_two_changes_of_a_key(spark):
         tb.update_by_key(stored, twice, ["k"]).collect()
     once = tb.update_by_key(stored, twice.limit(1), ["k"]).collect()
     assert sorted(map(tuple, once)) == [(1, "a"), (2, "c")]
+
+
+def test_stream_updates_survive_a_restart(spark, tmp_path):
+    """A second run on the same checkpoint reads only new files; hours it adds to are replaced, others stay."""
+    src, out, check = (str(tmp_path / n) for n in ("readings", "out", "check"))
+    ddl = "asset_id STRING, ts TIMESTAMP_NTZ, current_a DOUBLE"
+
+    def land(*readings):
+        spark.createDataFrame([(a, dt.datetime(2024, 1, 1, h, m), c) for a, h, m, c in readings], ddl).coalesce(1).write.mode(
+            "append").parquet(src)
+
+    def run():
+        stream = jobs.with_event_time(spark.readStream.schema(ddl).parquet(src), "ts", "2 hours")
+        hours = stream.groupBy("asset_id", F.window("event_time", "1 hour").alias("hr")).agg(
+            F.count("*").alias("n"), F.sum("current_a").alias("total"))
+        hours = hours.withColumn("hr", F.hour("hr.start"))
+        return rows(jobs.run_updates(hours, ["asset_id", "hr"], checkpoint=check, path=out), "asset_id", "hr", "n", "total")
+
+    land(("A", 8, 0, 1.0), ("A", 9, 0, 2.0))
+    assert run() == [("A", 8, 1, 1.0), ("A", 9, 1, 2.0)]
+    land(("A", 9, 30, 4.0), ("B", 9, 0, 8.0))
+    want = [("A", 8, 1, 1.0), ("A", 9, 2, 6.0), ("B", 9, 1, 8.0)]
+    assert run() == want
+    assert run() == want  # nothing new

@@ -654,6 +654,30 @@ SELECT qid, card_id, CAST(nth AS INTEGER) AS rank FROM (
     "unique_keys": """
 SELECT 'unique user_id, ts' AS check_name, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS result, n || ' duplicate key(s)' AS detail
 FROM (SELECT count(*) AS n FROM (SELECT 1 FROM events GROUP BY user_id, ts HAVING count(*) > 1))""",
+    "check_suite": compose("""
+SELECT * FROM (
+WITH repeats AS (
+  SELECT 'unique event_id' AS check_name, count(*) AS n FROM (SELECT 1 FROM events GROUP BY event_id HAVING count(*) > 1)
+  UNION ALL SELECT 'unique o_custkey', count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING count(*) > 1)
+  UNION ALL SELECT 'unique l_orderkey, l_linenumber', count(*)
+  FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)),
+first_days AS (SELECT line_id, arg_max(oee, oee_date) AS oee, arg_max(availability, oee_date) AS availability
+               FROM line_day_v WHERE extract(day FROM oee_date) = 1 GROUP BY line_id),
+heat AS (SELECT avg(temperature_c) FILTER (ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-22')
+              / avg(temperature_c) FILTER (ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-18') AS ratio
+         FROM readings_v WHERE asset_id = 'click'),
+verdicts AS (
+  SELECT check_name, n = 0 AS passed, n || ' duplicate key(s)' AS detail FROM repeats
+  UNION ALL SELECT 'row counts', r = 5 AND n = 25, 'nation=' || n || ' region=' || r
+  FROM (SELECT count(*) AS n FROM nation), (SELECT count(*) AS r FROM region)
+  UNION ALL SELECT 'asset names', count(*) = 5 AND bool_and(t IN ('click', 'error', 'purchase', 'signup', 'view')),
+                   count(*) || ' row(s)' FROM (SELECT DISTINCT event_type AS t FROM events)
+  UNION ALL SELECT 'no test phrase', count(*) = 0, CAST(count(*) AS VARCHAR) FROM notes_v WHERE contains(note_text, 'zzzz')
+  UNION ALL SELECT 'some breakdowns', count(*) >= 1, CAST(count(*) AS VARCHAR) FROM orders_v
+  UNION ALL SELECT 'OEE ' || line_id, abs(oee - 0.0143) <= 0.05 * 0.0143 AND abs(availability - 0.95) <= 0.02,
+                   'got ' || coalesce(CAST(round(oee, 4) AS VARCHAR), 'nothing') || ' expected 0.0143' FROM first_days
+  UNION ALL SELECT 'click temperature is steady', ratio BETWEEN 0.5 AND 1.5, CAST(round(ratio, 4) AS VARCHAR) FROM heat)
+SELECT check_name, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS result, coalesce(detail, '') AS detail FROM verdicts)"""),
     "check_windows": compose("""
 SELECT 'click window holds 5 h' AS check_name,
        CASE WHEN min(eta_low_h) <= 5 AND max(eta_high_h) >= 5 THEN 'PASS' ELSE 'FAIL' END AS result,

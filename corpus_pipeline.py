@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from millwright.llm import decontaminate, line_dedup, mixing, similar, toxicity
 from millwright.llm.common import load
 from millwright.session import staged
 
@@ -27,7 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines go from the texts; every document stays, ``n_chars`` is counted anew."""
+    """Later copies of runs of two or more lines, or of one line of 50 or more words, go from the texts.
+
+    Every document stays, ``n_chars`` is counted anew.
+    """
     kept = line_dedup.remove_repeated_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long"))
@@ -37,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return _kept(docs, simhash.near_duplicates(docs), F.col("doc_id") == F.col("component_id"))
+    return _kept(docs, similar.similar_documents(docs), F.col("doc_id") == F.col("component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,13 +157,15 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-_LINES = """
+_LINES = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
            FROM documents),
 p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l),
-m AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY line, after) AS first_at FROM p),
-c AS (SELECT *, after IS NOT NULL AND first_at < (doc_id, i) AS copy FROM m),
-g AS (SELECT *, copy OR coalesce(lag(copy) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM c),
+m AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY line, after) AS first_at,
+             min((doc_id, i)) OVER (PARTITION BY line) AS first_single FROM p),
+c AS (SELECT *, after IS NOT NULL AND first_at < (doc_id, i) AS copy,
+             first_single < (doc_id, i) AND len(regexp_extract_all(line, '{_WORDS_RE}')) >= 50 AS passage FROM m),
+g AS (SELECT *, copy OR passage OR coalesce(lag(copy) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM c),
 o AS (SELECT doc_id, count(*) FILTER (gone) AS removed_lines, count(*) FILTER (NOT gone) AS kept,
              string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text FROM g GROUP BY doc_id)
 SELECT doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE greatest(1, coalesce(kept, 0)) END AS kept_lines,

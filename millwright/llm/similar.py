@@ -1,0 +1,165 @@
+"""Near-duplicates by a similarity of word shingles, from wide SimHashes and pivot distance tables.
+
+A 64-bit SimHash is too coarse to tell a Jaccard similarity of 0.8 from 0.6, so documents get 512 bits over their distinct
+shingles. Sets of similarity s share 2s / (1 + s) of their shingles; the angle with that cosine is the share of bits that
+differ, which gives the radius. Pairs are looked at when they share a cell: four least shingle hashes in one of twelve
+bands. Inside a cell, distances to reference members (pivots) discard pairs by their largest coordinate difference, and
+the exact distance decides on the rest.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millwright.llm.common import BLANK, flat_bytes, hash_runs, mix, rolling, runs_of, text_slices
+from millwright.llm.graph import components
+from millwright.llm.simhash import LOWER, _closed, _join_up, near_duplicates
+from millwright.session import staged
+
+_PARTS = 8  # of 64 bits
+_BANDS, _ROWS = 12, 4
+_PIVOTS = 8  # per cell
+_SEEDS = np.random.RandomState(8).randint(1, 1 << 62, _BANDS * _ROWS + _PARTS).astype(np.uint64) | np.uint64(1)
+
+
+def radius_of(similarity: float) -> int:
+    """Bits of a wide SimHash that differ between equally large sets of a Jaccard similarity: mean and one deviation."""
+    bits, p = 64 * _PARTS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row, by row; a shorter text is one shingle, one without words has none."""
+    data, offsets = flat_bytes(column)
+    data = LOWER[data]
+    start, end, row = runs_of(~BLANK[data], offsets)
+    h = hash_runs(data, start, end)
+    grams = rolling(h, width)
+    full = np.flatnonzero(row[:len(grams)] == row[width - 1:])
+    count = np.bincount(row, minlength=len(column))
+    first = np.cumsum(count) - count
+    short = np.flatnonzero((count > 0) & (count < width))
+    whole = [rolling(h[first[i]:first[i] + count[i]], int(count[i])) for i in short]
+    value, owner = np.concatenate([grams[full], *whole]), np.concatenate([row[full], short])
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return value[new], owner[new]
+
+
+def _wide(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, max_bytes=1 << 20):
+            rows = batch.num_rows
+            value, owner = _shingles(batch.column("text"), width)
+            edge = np.searchsorted(owner, np.arange(rows + 1))
+            some = np.flatnonzero(np.diff(edge))
+            out = np.zeros((rows, 64 * _PARTS), np.uint8)
+            for i in some.tolist():
+                ones = np.zeros(64 * _PARTS, np.int64)
+                for lo in range(edge[i], edge[i + 1], 1 << 13):
+                    part = mix(value[lo:min(edge[i + 1], lo + (1 << 13)), None] + _SEEDS[None, -_PARTS:])
+                    ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+                out[i] = 2 * ones > edge[i + 1] - edge[i]
+            prints = np.packbits(out, axis=1, bitorder="little")
+            cells = np.zeros((rows, _BANDS), np.uint64)
+            for band in range(_BANDS):
+                for seed in _SEEDS[band * _ROWS:(band + 1) * _ROWS] if len(some) else ():
+                    v = value * seed
+                    low = np.minimum.reduceat(v ^ (v >> np.uint64(32)), edge[some])
+                    cells[some, band] = mix(cells[some, band] + low + np.uint64(band + 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([p.tobytes() for p in prints], pa.binary()),
+                 pa.array(list(cells.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "wide", "cells"])
+
+    return run
+
+
+def wide_prints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, wide: 64 bytes, cells: array of long) of each whole text, one row per input row.
+
+    A-Z are lower-cased. Null texts and texts without words have a print of zeros.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _wide(width), "doc_id long, wide binary, cells array<long>")
+
+
+def _link(cell: np.ndarray, prints: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the members of each cell; rows come sorted by cell. Pairs already connected are skipped."""
+    first = np.searchsorted(cell, cell)
+    last = np.searchsorted(cell, cell, side="right") - 1
+    gap = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int16)
+    everyone = np.arange(len(cell))
+    table = np.stack([gap(everyone, first + (last - first) * k // (_PIVOTS - 1)) for k in range(_PIVOTS)], axis=1)
+    label, at, lag = everyone.copy(), everyone, 0
+    while len(at):
+        lag += 1
+        at = at[at + lag <= last[at]]
+        a = at[label[at] != label[at + lag]]
+        a = a[np.abs(table[a] - table[a + lag]).max(axis=1, initial=0) <= radius]
+        a = a[gap(a, a + lag) <= radius]
+        _join_up(label, a, a + lag)
+    linked = np.flatnonzero(label != everyone)
+    return node[linked], node[label[linked]]
+
+
+def _pair_up(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, prints, node = np.zeros(0, np.int64), np.zeros((0, _PARTS), np.uint64), np.zeros(0, np.int64)
+        for batch in _closed(batches):
+            cut = len(cell)
+            if batch is not None:
+                more = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, _PARTS)
+                cell, prints, node = (np.concatenate(x) for x in (
+                    (cell, np.asarray(batch.column("cell"))), (prints, more), (node, np.asarray(batch.column("node")))))
+                cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            if cut:
+                a, b = _link(cell[:cut], prints[:cut], node[:cut], radius)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            cell, prints, node = cell[cut:], prints[cut:], node[cut:]
+
+    return run
+
+
+def links(reps: DataFrame, radius: int, crowd: int = 10_000) -> DataFrame:
+    """(a, b): links that connect whatever nodes of (wide, cells, node) share a cell within ``radius`` bits.
+
+    A cell is dealt to parts of about ``crowd`` members, and every two parts meet in one task, so that no task holds
+    more than two parts and no pair is left out. Pairs that are connected already aren't looked at again.
+    """
+    rows = reps.select("node", "wide", F.posexplode("cells").alias("band", "cell"))
+    rows = rows.select("node", "wide", F.xxhash64("band", "cell").alias("cell"))
+    sizes = (rows.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
+             .select("cell", F.ceil(F.col("members") / crowd).cast("int").alias("parts")))
+    mine, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
+    met = (staged(rows.join(sizes, "cell"), "cells")
+           .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+           .select(F.xxhash64("cell", F.least(mine, other), F.greatest(mine, other)).alias("cell"), "wide", "node"))
+    return (met.repartition("cell").sortWithinPartitions("cell", "node")
+            .mapInArrow(_pair_up(radius), "a long, b long").distinct())
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(doc_id, component_id), one row per input row; component_id is the smallest doc_id reachable.
+
+    Linked are documents whose wide SimHashes lie as close as a Jaccard similarity of ``similarity`` of their word
+    ``width``-shingles gives (``radius_of``), and those that ``near_duplicates`` links. Texts without words are all linked.
+    Rows without a doc_id have no component and link nothing; rows that repeat a doc_id count as one document. An empty
+    table gives no rows.
+    """
+    wide = staged(wide_prints(docs, width), "wide")
+    ids = wide.where("doc_id IS NOT NULL")
+    reps = staged(ids.groupBy("wide").agg(F.min("doc_id").alias("node"), F.min("cells").alias("cells")), "reps")
+    equal = ids.join(reps.select("wide", "node"), "wide").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    close = near_duplicates(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    found = components(equal.unionByName(close).where("a != b").unionByName(links(reps, radius_of(similarity))))
+    return wide.join(found, F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millwright.llm import (decontaminate, graph, line_dedup, mixing, quality, secret_scan, simhash, sketches,
+from millwright.llm import (decontaminate, graph, line_dedup, mixing, quality, secret_scan, similar, simhash, sketches,
                             substring_dedup, toxicity, warc)
 
 SMALL = "/root/testdata/sf0.001"
@@ -234,6 +234,37 @@ def test_links_within_crowded_cells(spark):
         assert {r.node: r.component for r in got.collect()} == want
 
 
+def test_similar_documents_against_brute_force(spark, odd, empty):
+    rng = random.Random(5)
+    made = []
+    for group in range(12):
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 300))]
+        for copy in range(5):
+            made.append((1000 + 10 * group + copy, " ".join(text)))
+            for _ in range(1 + len(text) // 150):
+                text[rng.randrange(len(text))] = "changed"
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = docs.collect()
+    grams = lambda t: {tuple(w[i:i + 5]) for w in [words(t.lower())] for i in range(max(1, len(w) - 4))}
+    sets = {r.doc_id: grams(r.text or "") for r in rows if r.doc_id is not None}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    got = similar.similar_documents(docs)
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in rows)
+    label = {r.doc_id: r.component_id for r in got.collect()}
+    assert label[None] is None
+    wanted = [p for p, j in alike.items() if j >= 0.85]
+    assert len(wanted) > 20 and all(label[a] == label[b] for a, b in wanted)
+    close = {p for p, j in alike.items() if j >= 0.6}
+    for a, b in label.items():  # every member of a group is close to some other member
+        if a is not None and a != b:
+            assert any(label[c] == b and (min(a, c), max(a, c)) in close for c in sets if c != a)
+    assert similar.similar_documents(empty).count() == 0
+    reps = similar.wide_prints(docs.where("doc_id > 100")).select(F.col("doc_id").alias("node"), "wide", "cells")
+    parts = {frozenset((r.node, r.component) for r in graph.components(similar.links(reps, similar.radius_of(0.8), crowd)).collect())
+             for crowd in (2, 10_000)}
+    assert len(parts) == 1
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i * 7 % 101, (i + 1) * 7 % 101) for i in range(100)] + [(5, 5), (500, 501), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in graph.components(path).collect()}
@@ -283,17 +314,21 @@ def test_terms_in_blocks_and_proximity(spark):
 def test_repeated_lines_equal_brute_force(spark, odd, empty, m):
     rng = random.Random(m)
     made = [(100 + i, "\n".join(rng.choice("abcde") for _ in range(rng.randrange(1, 14)))) for i in range(40)]
+    made += [(200 + i, f"{i}\n{PASSAGE} {PASSAGE} {PASSAGE[:n]}\n-{i}") for i, n in enumerate((40, 40, 20, 20, 26, 26))]
     docs = odd.unionByName(spark.createDataFrame([(i, t, *"slrbnt") for i, t in made], SCHEMA))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    first = {}
+    first, first_line = {}, {}
     for i, t in sorted({(i, t) for i, t in rows if i is not None and t is not None}):
         lines = t.split("\n")
+        for k, line in enumerate(lines):
+            first_line.setdefault(line, (i, k))
         for k in range(len(lines) - m + 1):
             first.setdefault(tuple(lines[k:k + m]), (i, k))
     want = []
     for i, t in rows:
         if i is not None and t is not None:
-            lines, gone = t.split("\n"), set()
+            lines = t.split("\n")
+            gone = {k for k, line in enumerate(lines) if len(words(line)) >= 50 and first_line[line] < (i, k)}
             for k in range(len(lines) - m + 1):
                 if first[tuple(lines[k:k + m])] < (i, k):
                     gone |= set(range(k, k + m))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millwright.llm import decontaminate, simhash
+from millwright.llm import decontaminate, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def test_stages_keep_the_columns_and_take_effect(spark):
             assert out.join(docs, "doc_id", "left_anti").count() == 0
         seen[name], docs = out, out
     kept = seen["near_dedup"]
-    groups = simhash.near_duplicates(seen["line_dedup"])
+    groups = similar.similar_documents(seen["line_dedup"])
     assert kept.count() == groups.select("component_id").distinct().count()
     clean = decontaminate.contamination(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).where("NOT contaminated")
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in seen["decontamination"].collect()}

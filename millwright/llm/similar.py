@@ -1,16 +1,18 @@
-"""Near-duplicates by a similarity of word shingles, from wide SimHashes and pivot distance tables.
+"""Near-duplicates by the exact Jaccard similarity of word shingles; wide SimHashes and pivot tables only filter.
 
-A 64-bit SimHash is too coarse to tell a Jaccard similarity of 0.8 from 0.6, so documents get 512 bits over their distinct
-shingles. Sets of similarity s share 2s / (1 + s) of their shingles; the angle with that cosine is the share of bits that
-differ, which gives the radius. Pairs are looked at when they share a cell: four least shingle hashes in one of twelve
-bands. Inside a cell, distances to reference members (pivots) discard pairs by their largest coordinate difference, and
-the exact distance decides on the rest.
+Pairs are looked at when they share a cell: three least shingle hashes in one of sixteen bands. Documents get 512 bits over
+their distinct shingles. Sets of similarity s share at least 2s / (1 + s) of their shingles by cosine; the angle with that
+cosine is the share of bits that differ, and a radius far above it discards the rest. Inside a cell, distances to reference
+members (pivots) discard pairs by their largest coordinate difference, then the bit distance does. What is left is joined
+with its distinct shingle hashes, and the Jaccard similarity of these decides.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +21,20 @@ from pyspark.sql import functions as F
 
 from millwright.llm.common import BLANK, flat_bytes, hash_runs, mix, rolling, runs_of, text_slices
 from millwright.llm.graph import components
-from millwright.llm.simhash import LOWER, _closed, _join_up, near_duplicates
+from millwright.llm.simhash import LOWER, _closed
 from millwright.session import staged
 
 _PARTS = 8  # of 64 bits
-_BANDS, _ROWS = 12, 4
+_BANDS, _ROWS = 16, 3
 _PIVOTS = 8  # per cell
+_DEVIATIONS = 6  # of the bit distance, beyond which a pair is discarded
 _SEEDS = np.random.RandomState(8).randint(1, 1 << 62, _BANDS * _ROWS + _PARTS).astype(np.uint64) | np.uint64(1)
 
 
 def radius_of(similarity: float) -> int:
-    """Bits of a wide SimHash that differ between equally large sets of a Jaccard similarity: mean and one deviation."""
+    """Most bits of a wide SimHash that differ between sets of a Jaccard similarity: mean and six deviations."""
     bits, p = 64 * _PARTS, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + _DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
 
 def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +57,11 @@ def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], owner[new]
 
 
+def _key(values: np.ndarray) -> int:
+    """Key of a set of shingles: equal sets, and only these, share it."""
+    return int.from_bytes(hashlib.md5(values.tobytes()).digest()[:8], "little", signed=True)
+
+
 def _wide(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, max_bytes=1 << 20):
@@ -77,89 +85,161 @@ def _wide(width: int):
                     cells[some, band] = mix(cells[some, band] + low + np.uint64(band + 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([p.tobytes() for p in prints], pa.binary()),
-                 pa.array(list(cells.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "wide", "cells"])
+                 pa.array(list(cells.view(np.int64)), pa.list_(pa.int64())),
+                 pa.array([_key(value[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.int64())],
+                names=["doc_id", "wide", "cells", "key"])
 
     return run
 
 
 def wide_prints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, wide: 64 bytes, cells: array of long) of each whole text, one row per input row.
+    """(doc_id, wide: 64 bytes, cells: array of long, key) of each whole text, one row per input row.
 
-    A-Z are lower-cased. Null texts and texts without words have a print of zeros.
+    Texts with the same set of shingles share ``key``. A-Z are lower-cased. Null texts and texts without words have a print of zeros.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _wide(width), "doc_id long, wide binary, cells array<long>")
+        _wide(width), "doc_id long, wide binary, cells array<long>, key long")
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, max_bytes=1 << 20):
+            value, owner = _shingles(batch.column("text"), width)
+            edge = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            parts = [value[a:b] for a, b in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(p) for p in parts], pa.int64()),
+                                              pa.array([p.tobytes() for p in parts], pa.binary())], names=["key", "shingles"])
+
+    return run
 
 
-def _link(cell: np.ndarray, prints: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the members of each cell; rows come sorted by cell. Pairs already connected are skipped."""
+def _alike(similarity: float):
+    share = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, other in zip(batch.column("one"), batch.column("other")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
+                both = 0
+                if min(len(x), len(y)) >= share * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= share * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def alike(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Of ``pairs`` (a, b: keys) those whose sets of shingles have a Jaccard similarity of ``similarity`` or more, exactly.
+
+    ``reps`` (key, node) names a document of each key; only texts of documents in some pair are split again.
+    """
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    asked = staged(reps.join(asked, "key", "left_semi").select(F.col("node").alias("__node")).distinct(), "asked")
+    texts = docs.join(asked, docs["doc_id"].cast("long") == asked["__node"], "left_semi").select("text")
+    sets = staged(texts.mapInArrow(_sets(width), "key long, shingles binary").groupBy("key")
+                  .agg(F.any_value("shingles").alias("shingles")), "sets")
+    return (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("one")), "a")
+            .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("other")), "b")
+            .select("a", "b", "one", "other").mapInArrow(_alike(similarity), "a long, b long"))
+
+
+def _near(cell: np.ndarray, prints: np.ndarray, node: np.ndarray, label: np.ndarray, radius: int,
+          lags: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of each cell within ``radius`` bits, unless labelled alike, that stand ``lags`` rows apart."""
     first = np.searchsorted(cell, cell)
     last = np.searchsorted(cell, cell, side="right") - 1
     gap = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int16)
-    everyone = np.arange(len(cell))
-    table = np.stack([gap(everyone, first + (last - first) * k // (_PIVOTS - 1)) for k in range(_PIVOTS)], axis=1)
-    label, at, lag = everyone.copy(), everyone, 0
-    while len(at):
-        lag += 1
+    at = np.arange(len(cell))
+    table = np.stack([gap(at, first + (last - first) * k // (_PIVOTS - 1)) for k in range(_PIVOTS)], axis=1)
+    for lag in lags:
         at = at[at + lag <= last[at]]
+        if not len(at):
+            return
         a = at[label[at] != label[at + lag]]
         a = a[np.abs(table[a] - table[a + lag]).max(axis=1, initial=0) <= radius]
         a = a[gap(a, a + lag) <= radius]
-        _join_up(label, a, a + lag)
-    linked = np.flatnonzero(label != everyone)
-    return node[linked], node[label[linked]]
+        if len(a):
+            yield np.minimum(node[a], node[a + lag]), np.maximum(node[a], node[a + lag])
 
 
-def _pair_up(radius: int):
+def _pair_up(radius: int, lags: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, prints, node = np.zeros(0, np.int64), np.zeros((0, _PARTS), np.uint64), np.zeros(0, np.int64)
+        held = np.zeros((0, 3), np.int64)
+        prints = np.zeros((0, _PARTS), np.uint64)
         for batch in _closed(batches):
-            cut = len(cell)
+            cut = len(held)
             if batch is not None:
                 more = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, _PARTS)
-                cell, prints, node = (np.concatenate(x) for x in (
-                    (cell, np.asarray(batch.column("cell"))), (prints, more), (node, np.asarray(batch.column("node")))))
-                cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+                prints = np.concatenate([prints, more])
+                held = np.concatenate([held, np.stack([np.asarray(batch.column(c)) for c in ("cell", "node", "label")], axis=1)])
+                cut = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
             if cut:
-                a, b = _link(cell[:cut], prints[:cut], node[:cut], radius)
-                if len(a):
+                cell, node, label = np.ascontiguousarray(held[:cut].T)
+                for a, b in _near(cell, prints[:cut], node, label, radius, lags):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            cell, prints, node = cell[cut:], prints[cut:], node[cut:]
+            held, prints = held[cut:], prints[cut:]
 
     return run
 
 
-def links(reps: DataFrame, radius: int, crowd: int = 10_000) -> DataFrame:
-    """(a, b): links that connect whatever nodes of (wide, cells, node) share a cell within ``radius`` bits.
+def links(reps: DataFrame, radius: int, crowd: int = 10_000,
+          check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b): pairs of nodes of (wide, cells, node) that share a cell, lie within ``radius`` bits and pass ``check``.
 
-    A cell is dealt to parts of about ``crowd`` members, and every two parts meet in one task, so that no task holds
-    more than two parts and no pair is left out. Pairs that are connected already aren't looked at again.
+    They connect whatever all such pairs connect. ``check`` takes and returns pairs (a, b). Members of a cell meet in
+    rounds, first those up to 4 rows apart, then up to 64 and so on; pairs that the rounds before have connected aren't
+    looked at again, so that a large group of copies costs a few pairs per member and not all of them. A cell is dealt to
+    parts of about ``crowd`` members, and every two parts meet in one task, so that no task holds more than two parts
+    and no pair is left out.
     """
     rows = reps.select("node", "wide", F.posexplode("cells").alias("band", "cell"))
     rows = rows.select("node", "wide", F.xxhash64("band", "cell").alias("cell"))
     sizes = (rows.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
-             .select("cell", F.ceil(F.col("members") / crowd).cast("int").alias("parts")))
+             .select("cell", "members", F.ceil(F.col("members") / crowd).cast("int").alias("parts")))
     mine, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
-    met = (staged(rows.join(sizes, "cell"), "cells")
-           .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-           .select(F.xxhash64("cell", F.least(mine, other), F.greatest(mine, other)).alias("cell"), "wide", "node"))
-    return (met.repartition("cell").sortWithinPartitions("cell", "node")
-            .mapInArrow(_pair_up(radius), "a long, b long").distinct())
+    cells = staged(rows.join(sizes, "cell"), "cells")
+    most = cells.agg(F.max("members")).first()[0] or 0
+    found, done, upto = None, 0, 4
+    while found is None or done + 1 < most:
+        met = cells.where(F.col("members") > done + 1)
+        if found is None:
+            met = met.withColumn("label", F.col("node"))
+        else:
+            met = met.join(staged(components(found), "labels"), "node", "left").withColumn(
+                "label", F.coalesce("component", "node"))
+        met = (met.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+               .select(F.xxhash64("cell", F.least(mine, other), F.greatest(mine, other)).alias("cell"), "wide", "node", "label"))
+        pairs = (met.repartition("cell").sortWithinPartitions("cell", "node")
+                 .mapInArrow(_pair_up(radius, range(done + 1, upto + 1)), "a long, b long").distinct())
+        pairs = staged(pairs, "pairs")
+        pairs = staged(check(pairs), "checked") if check else pairs
+        found = pairs if found is None else found.unionByName(pairs)
+        done, upto = upto, 16 * upto
+    return found
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(doc_id, component_id), one row per input row; component_id is the smallest doc_id reachable.
 
-    Linked are documents whose wide SimHashes lie as close as a Jaccard similarity of ``similarity`` of their word
-    ``width``-shingles gives (``radius_of``), and those that ``near_duplicates`` links. Texts without words are all linked.
-    Rows without a doc_id have no component and link nothing; rows that repeat a doc_id count as one document. An empty
-    table gives no rows.
+    Linked are documents whose sets of word ``width``-shingles have a Jaccard similarity of ``similarity`` or more; a
+    shorter text is one shingle. Texts without words are all linked. Rows without a doc_id have no component and link
+    nothing; rows that repeat a doc_id count as one document. An empty table gives no rows.
     """
     wide = staged(wide_prints(docs, width), "wide")
     ids = wide.where("doc_id IS NOT NULL")
-    reps = staged(ids.groupBy("wide").agg(F.min("doc_id").alias("node"), F.min("cells").alias("cells")), "reps")
-    equal = ids.join(reps.select("wide", "node"), "wide").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    close = near_duplicates(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    found = components(equal.unionByName(close).where("a != b").unionByName(links(reps, radius_of(similarity))))
-    return wide.join(found, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    reps = staged(ids.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("wide").alias("wide"),
+                                         F.min("cells").alias("cells")), "reps")
+    nodes = reps.select("key", "node")
+    near = links(reps.select(F.col("key").alias("node"), "wide", "cells"), radius_of(similarity),
+                 check=lambda pairs: alike(docs, nodes, pairs, similarity, width))
+    texts = ids.select("doc_id", "key").distinct()
+    several = texts.groupBy("doc_id").agg(F.min("key").alias("b"), F.max("key").alias("a")).where("a != b")
+    same = texts.join(several.select("doc_id", "b"), "doc_id").select(F.col("key").alias("a"), "b")
+    found = components(near.unionByName(same)).select(F.col("node").alias("key"), "component")
+    labels = staged(nodes.join(found, "key", "left").select("key", "node", F.coalesce("component", "key").alias("label")), "labels")
+    least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
+    of_key = staged(labels.join(least, "label").select("key", "component_id"), "of_key")
+    return wide.select("doc_id", "key").join(of_key, "key", "left").select(
+        "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

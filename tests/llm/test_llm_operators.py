@@ -265,6 +265,38 @@ def test_similar_documents_against_brute_force(spark, odd, empty):
     assert len(parts) == 1
 
 
+def test_similar_documents_link_from_exactly_the_similarity(spark, documents):
+    rng = random.Random(8)
+    texts = {r.doc_id: r.text for r in documents.collect() if r.doc_id is not None}
+    for group in range(30):
+        changed = 1 + group % 10
+        for low in (0, 1):  # (45 - 5) / (45 + 5) shingles are 0.8, one less of both is below
+            text = [f"w{rng.randrange(10 ** 9)}" for _ in range(45 * changed + 4 - low)]
+            texts[10_000 + 10 * group + 2 * low] = " ".join(text)
+            for k in range(changed):
+                text[5 + 30 * k] = f"w{rng.randrange(10 ** 9)}"
+            texts[10_001 + 10 * group + 2 * low] = " ".join(text)
+    sets = {i: {tuple(w[k:k + 5]) for w in [words(t.lower())] for k in range(max(1, len(w) - 4))} for i, t in texts.items()}
+    edges = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sum(a >= 10_000 for a, _ in edges) == 30
+    low = {i: i for i in sets}
+    for _ in sets:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()} == low
+
+
+def test_links_of_members_far_apart_in_their_cell(spark):
+    rng = random.Random(9)
+    prints = [rng.randbytes(64) for _ in range(75)]
+    reps = spark.createDataFrame([(i, prints[i % 75], [7]) for i in range(150)], "node long, wide binary, cells array<long>")
+    for crowd in (20, 1000):
+        got = similar.links(reps, 100, crowd)
+        assert {(r.a, r.b) for r in got.collect()} == {(i, i + 75) for i in range(75)}
+        assert similar.links(reps, 100, crowd, check=lambda pairs: pairs.where("a % 2 = 0")).distinct().count() == 38
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i * 7 % 101, (i + 1) * 7 % 101) for i in range(100)] + [(5, 5), (500, 501), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in graph.components(path).collect()}

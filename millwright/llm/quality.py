@@ -49,15 +49,17 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def log_ratio(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000) -> np.ndarray:
+def log_ratio(docs: DataFrame, labels: DataFrame, max_docs: int | None = None) -> np.ndarray:
     """Per bucket log p(target) - log p(raw), each with one count added to every bucket.
 
-    Raw text is all of ``docs``; the target is at most ``max_docs`` documents labelled quality 1, by a hash of the id.
+    Raw text is all of ``docs``; the target is all documents labelled quality 1, or ``max_docs`` of them by a hash of the id.
     """
     chosen = (labels.where("doc_id IS NOT NULL AND quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-              .distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+              .distinct())
+    if max_docs is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    target, raw = (gram_counts(d) + 1 for d in (texts.join(F.broadcast(chosen), "doc_id"), texts))
+    target, raw = (gram_counts(d) + 1 for d in (texts.join(chosen, "doc_id", "left_semi"), texts))
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 

@@ -424,6 +424,11 @@ def test_resampling(spark, odd, empty):
     assert quality.resample(empty, ratio).count() == 0
 
 
+def test_target_counts_all_good_documents(spark):
+    docs = spark.range(10_400).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), "id").alias("text"), F.lit(1).alias("quality"))
+    assert abs(quality.log_ratio(docs, docs.select("doc_id", "quality"))).max() < 1e-12  # target and raw text are the same
+
+
 def test_top_k_equals_sorting(spark):
     rng = random.Random(4)
     rows = [(round(rng.gauss(0, 1), 2), i % 150) for i in range(300)] + [(0.5, 7)] * 5

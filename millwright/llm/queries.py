@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import (decontaminate, line_dedup, mixing, quality, secret_scan, simhash, sketches, substring_dedup,
-                            toxicity, warc)
+from millwright.llm import (decontaminate, exact_dedup, line_dedup, mixing, prefix_trie, quality, repair, secret_scan, simhash,
+                            sketches, substring_dedup, toxicity, warc)
 from millwright.llm.common import load
 
 
@@ -59,8 +59,24 @@ def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_versions(load(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal normalised texts of ``documents``, every row with the one that stays for it."""
+    return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of the rebuilt ``conversations``."""
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage, faults, cheapest edits and repaired text of each of ``conversations``."""
+    return repair.repair_damaged(load(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_toxicity, op4_mixing, op5_simhash, op6_decontaminate,
-                                   op7_line_dedup, op8_substring_dedup, op9_quality, op10_sketches)}
+                                   op7_line_dedup, op8_substring_dedup, op9_quality, op10_sketches, op11_exact_dedup,
+                                   op12_prefix_trie, op13_repair)}
 
 
 def _quoted(text: str) -> str:
@@ -185,5 +201,12 @@ o AS (SELECT l.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN o USING (doc_id)"""
 
+_EXACT = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d"""
+
 ORACLES = {"op1_secret_scan": _SECRETS, "op2_warc": _WARC, "op4_mixing": _MIX, "op6_decontaminate": _CONTAMINATION,
-           "op7_line_dedup": _LINES, "op8_substring_dedup": _PASSAGES}
+           "op7_line_dedup": _LINES, "op8_substring_dedup": _PASSAGES,
+           "op11_exact_dedup": _EXACT}

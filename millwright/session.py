@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+WORK_DIR = "millwright.work.dir"
+
 _SETTINGS = {
     # Plant-local wall-clock times are timestamp_ntz; UTC keeps their casts to and from timestamp loss-free.
     "spark.sql.session.timeZone": "UTC",
@@ -25,10 +27,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share, from ``spark.checkpoint.dir``; where a session was built without it, from ``millwright.work.dir``,
+    which may be set at run time."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+              or spark.conf.get(WORK_DIR, None))
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        raise ValueError(f"set spark.checkpoint.dir or {WORK_DIR} to a folder that all executors can reach")
     return shared.rstrip("/")
 
 

@@ -13,7 +13,6 @@ from millwright.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from millwright.llm.common import load
 from millwright.session import staged
 
-
 #: Keys of rows without a doc_id start here.
 _NO_ID = 1 << 62
 
@@ -40,14 +39,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines, or of one line of 50 or more words, go from the texts.
+    """Later copies of runs of two or more lines, or of one line of 13 or more words, go from the texts.
 
-    Every document stays, ``n_chars`` is counted anew.
+    Every document stays, ``n_chars`` is counted anew. Texts of rows without an id stay as they are.
     """
-    kept = line_dedup.remove_repeated_lines(docs)
+    count = max(docs.columns, key=len) + "_removed"  # no column of docs
+    kept = line_dedup.remove_repeated_lines(docs, count=count)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long"))
-                               .otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 
 

@@ -160,7 +160,7 @@ def edges_for(spark, sf):
     """Edges of every recurred fix."""
     found = cards_frame(spark, sf)
     ids = found.filter(F.col("outcome") == "RECURRED").select(F.col("card_id").alias("id"))
-    return cd.edges_for(cd.edges(found), ids)
+    return cd.incident_edges(found, ids)
 
 
 def tokens(spark, sf):

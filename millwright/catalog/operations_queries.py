@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millwright.catalog import adapters as a
 from millwright.catalog import knowledge_queries as kq
-from millwright.catalog.sensor_queries import RS, anomaly_frames, hourly_frame, hours_frame, window_frames
+from millwright.catalog.sensor_queries import RS, anomaly_frames, hourly_frame, hours_frame, match_frames, window_frames
 from millwright.catalog.sql import compose, define, near, rounded
 from millwright.functions.exprs import out
 from millwright.operators import extraction as ex
@@ -138,7 +138,7 @@ def drafts_frame(spark, sf, knowledge=None):
 
 
 def draft_orders(spark, sf):
-    return drafts_frame(spark, sf)
+    return drafts_frame(spark, sf).withColumns({c: out(F.col(c)) for c in ("eta_low_h", "eta_high_h")})
 
 
 def draft_summary(spark, sf):
@@ -281,13 +281,17 @@ def answers_frame(spark, sf):
         a.QUESTION_RULES)
 
 
+def _listed(answers):
+    return answers.withColumn("citations", F.array_join("citations", ","))
+
+
 def answer_questions(spark, sf):
-    return answers_frame(spark, sf)
+    return _listed(answers_frame(spark, sf))
 
 
 def table_answers(spark, sf):
     decided = questions.decide_tool(a.questions(spark, sf), a.QUESTION_RULES)
-    return questions.table_answers(decided, plant_tables(spark, sf), a.QUESTION_RULES)
+    return _listed(questions.table_answers(decided, plant_tables(spark, sf), a.QUESTION_RULES))
 
 
 def search_hits(spark, sf):
@@ -330,7 +334,31 @@ def check_expected_cards(spark, sf):
 
 def check_windows(spark, sf):
     _, windows = window_frames(spark, sf)
-    return quality.check_window_contains(windows, F.col("asset_id") == "click", 5.0, "click window holds 5 h")
+    expected = a.event_assets(spark, sf).select("asset_id", F.lit(5.0).alias("hours"))
+    return quality.check_windows_contain(windows, expected)
+
+
+def check_edges(spark, sf):
+    """The order that re-opened a failure contradicts the first one, and not the other way round."""
+    recur = staged(kq.recurrences(spark, sf), "recur")
+    there = recur.select(F.col("recurred_by_wo").alias("from_source"), F.col("wo_id").alias("to_source"))
+    back = recur.select(F.col("wo_id").alias("from_source"), F.col("recurred_by_wo").alias("to_source"))
+    expected = there.unionByName(back).withColumn("relation", F.lit("CONTRADICTS"))
+    return quality.check_edges(kq.edges_contradicts(spark, sf), expected)
+
+
+def check_matches(spark, sf):
+    """For every asset and mode of the breakdowns: a live anomaly of the asset matches an episode of that mode, or none does."""
+    _, found, matches = match_frames(spark, sf)
+    seen = a.corrective(spark, sf).where("failure_mode_code IS NOT NULL").select(
+        "asset_id", F.col("failure_mode_code").alias("failure_mode")).distinct()
+    expected = seen.withColumn("is_match", F.explode(F.array(F.lit(True), F.lit(False))))
+    return quality.check_matches(matches, found, expected)
+
+
+def check_phrases(spark, sf):
+    return quality.check_phrases_once(a.orders_wo(spark, sf), "resolution_note", [
+        "part 31 replaced", "Dont reuse part 45,", "click stopped; part 7 ", "no such phrase"])
 
 
 def unique_keys(spark, sf):
@@ -407,8 +435,8 @@ def stream_sessions(spark, sf):
     path = fresh_path(spark, "flagged")
     flagged = hours_frame(spark, sf).select("asset_id", "hr", "vib_resid_pct")
     flagged.write.parquet(path)
-    sessions = jobs.stream_sessions(spark.readStream.schema(flagged.schema).parquet(path))
-    df = jobs.run_available(sessions, "complete", "stream-sessions")
+    sessions = jobs.stream_episodes(spark.readStream.schema(flagged.schema).parquet(path))
+    df = jobs.session_rows(jobs.run_updates(sessions, ["asset_id", "start_hr"], "stream-sessions")).drop("closed")
     return df.withColumn("peak_vib_pct", out(F.col("peak_vib_pct")))
 
 
@@ -428,18 +456,13 @@ def stream_first_failure(spark, sf):
 
 
 def stream_incremental_cards(spark, sf):
-    """Notes as a stream; running the job twice stores every card once."""
+    """Orders and notes as streams; the second run goes on from the first, a third reads all again, and every card is stored once."""
     base = fresh_path(spark, "stream-cards")
     paths = CardPaths(f"{base}/raw", f"{base}/log")
-    notes = a.notes(_StreamSource(spark), sf)
-    sources = notes.select(
-        F.lit("HANDOVER_NOTE").alias("source_type"), F.col("note_id").alias("source_id"),
-        F.lit(None).cast("string").alias("asset_id"), F.lit(None).cast("string").alias("failure_mode_code"),
-        F.col("note_type").alias("source_subtype"), "author_technician_id", F.col("created_at").alias("source_ts"),
-        F.col("note_text").alias("source_text"), F.md5("note_text").alias("text_hash"),
-        F.lit(None).cast("string").alias("parts_used"))
-    for _ in range(2):
-        jobs.stream_cards(sources, paths, "rules", NOW, kq.LEX)
+    source = _StreamSource(spark)
+    sources = ex.card_sources(a.orders_wo(source, sf), a.notes(source, sf))
+    for checkpoint in ("one", "one", "two"):
+        jobs.stream_cards(sources, paths, "rules", NOW, kq.LEX, f"{base}/checkpoint-{checkpoint}")
     return spark.read.parquet(paths.raw).drop("extracted_by", "extracted_at")
 
 
@@ -553,7 +576,7 @@ _SIMPLE = (
     refresh_cards, select_evidence, recommend_parts, parts_risk, recommend_technician, draft_orders, draft_summary,
     fold_workflow, refused_events, approved_orders, close_orders, open_orders, drafts_by_status, data_now, metric_by_mode,
     metric_totals, route_questions, guard_questions, decide_tool, table_answers, search_hits, answer_questions,
-    check_suite, check_expected_cards, check_windows, unique_keys, score_answers, rollup_scores, hit_at_k,
+    check_suite, check_expected_cards, check_windows, check_edges, check_matches, check_phrases, unique_keys, score_answers, rollup_scores, hit_at_k,
     stream_hourly, stream_residuals, stream_sessions, stream_recurrence, stream_first_failure, stream_incremental_cards)
 QUERIES = {f.__name__: f for f in _SIMPLE}
 QUERIES.update({f"vq_{name}": _named(name) for name in NAMED_QUERIES})
@@ -679,10 +702,26 @@ verdicts AS (
   UNION ALL SELECT 'click temperature is steady', ratio BETWEEN 0.5 AND 1.5, CAST(round(ratio, 4) AS VARCHAR) FROM heat)
 SELECT check_name, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS result, coalesce(detail, '') AS detail FROM verdicts)"""),
     "check_windows": compose("""
-SELECT 'click window holds 5 h' AS check_name,
+SELECT asset_id || ' window holds 5.0 h' AS check_name,
        CASE WHEN min(eta_low_h) <= 5 AND max(eta_high_h) >= 5 THEN 'PASS' ELSE 'FAIL' END AS result,
        coalesce(concat_ws(' - ', CAST(round(min(eta_low_h), 1) AS VARCHAR), CAST(round(max(eta_high_h), 1) AS VARCHAR) || ' h'), '') AS detail
-FROM windows_v WHERE asset_id = 'click'"""),
+FROM event_assets_v LEFT JOIN windows_v USING (asset_id) GROUP BY asset_id"""),
+    "check_edges": compose("""
+SELECT 'edge ' || f || ' CONTRADICTS ' || t AS check_name, CASE WHEN n > 0 THEN 'PASS' ELSE 'FAIL' END AS result, n || ' edge(s)' AS detail
+FROM (SELECT e.f, e.t, count(c.relation) AS n
+      FROM (SELECT recurred_by_wo AS f, wo_id AS t FROM recur_v UNION ALL SELECT wo_id, recurred_by_wo FROM recur_v) e
+      LEFT JOIN contradicts_v c ON c.from_id LIKE 'CARD-' || e.f || '-%' AND c.to_id LIKE 'CARD-' || e.t || '-%' GROUP BY ALL)"""),
+    "check_matches": compose("""
+SELECT e.kind || ' ' || e.asset_id || ' ' || e.mode AS check_name, CASE WHEN (count(m.asset_id) > 0) = (e.kind = 'matches') THEN 'PASS' ELSE 'FAIL' END AS result,
+       count(m.asset_id) || ' match(es)' AS detail
+FROM (SELECT DISTINCT k.kind, o.asset_id, o.failure_mode_code AS mode FROM orders_v o, (VALUES ('matches'), ('matches no')) k(kind)
+      WHERE o.failure_mode_code IS NOT NULL) e
+LEFT JOIN (SELECT n.asset_id, x.failure_mode FROM matches_v x JOIN anomalies_v n USING (anomaly_id) WHERE x.is_match) m
+  ON m.asset_id = e.asset_id AND m.failure_mode = e.mode GROUP BY e.kind, e.asset_id, e.mode"""),
+    "check_phrases": compose("""
+SELECT 'phrase appears once: ' || p AS check_name, CASE WHEN n = 1 THEN 'PASS' ELSE 'FAIL' END AS result, CAST(n AS VARCHAR) AS detail
+FROM (SELECT p, count(*) FILTER (contains(resolution_note, p)) AS n
+      FROM orders_all_v, (VALUES ('part 31 replaced'), ('Dont reuse part 45,'), ('click stopped; part 7 '), ('no such phrase')) t(p) GROUP BY p)"""),
     "check_expected_cards": compose("""
 SELECT 'card ' || e.ref || ' ' || e.card_type || ' ' || e.source_id AS check_name,
        CASE WHEN count(c.card_id) > 0 THEN 'PASS' ELSE 'FAIL' END AS result, count(c.card_id) || ' matching card(s)' AS detail
@@ -711,7 +750,7 @@ SELECT asset_id, min(hr) AS start_hr, max(hr) AS end_hr, count(*) AS n_hours, {n
 FROM hours_v GROUP BY asset_id, island"""),
     "stream_recurrence": compose("SELECT * FROM recur_v"),
     "stream_first_failure": compose("SELECT * FROM past_v"),
-    "stream_incremental_cards": compose("SELECT * FROM note_cards_v"),
+    "stream_incremental_cards": compose("SELECT * FROM raw_v"),
     "vq_oee_by_line_last_week": compose(f"""
 SELECT line_id, {near("avg(oee)")} AS avg_oee, {near("avg(availability)")} AS avg_availability,
        {near("avg(performance)")} AS avg_performance, {near("avg(quality)")} AS avg_quality

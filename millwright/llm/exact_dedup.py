@@ -63,11 +63,15 @@ def _verdicts(docs: DataFrame, salts: int, digest: Callable[[Column], Column], *
     first = (found.where("least AND group IS NOT NULL").groupBy("group").agg(F.min("row").alias("first"), F.count("*").alias("ties"))
              .where("ties > 1").select("group", "first"))
     sha = F.lower(F.hex("digest" if digest is sha256 else "sha"))
-    return found.join(first, "group", "left").select(
-        "doc_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+    grouped = found.where("group IS NOT NULL").join(first, "group", "left").select(
+        *[F.col(c) for c in ("doc_id", "keep_id", "group_size")],
         (F.col("least") & (F.col("first").isNull() | (F.col("first") == F.col("row")))).alias("kept"), sha.alias("text_sha256"),
         *[c for c in found.columns if c == "whole"])
+    # Rows whose text is their own need no partner, and would all meet under the null group.
+    alone = found.where("group IS NULL").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
+        sha.alias("text_sha256"), *[c for c in found.columns if c == "whole"])
+    return grouped.unionByName(alone)
 
 
 def exact_duplicates(docs: DataFrame, salts: int = 64, digest: Callable[[Column], Column] = sha256) -> DataFrame:

@@ -67,22 +67,25 @@ def later_copies(suffixes: DataFrame) -> DataFrame:
     return suffixes.join(first, "rank").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
 
 
-def remove_repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
-    """``docs`` with later copies of repeated runs of at least ``min_lines`` lines deleted, and ``removed_lines`` added.
+def remove_repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 13,
+                          count: str = "removed_lines") -> DataFrame:
+    """``docs`` with later copies of repeated runs of at least ``min_lines`` lines deleted, and their number added as ``count``.
 
     A line goes when one of the ``min_lines`` runs it is in also starts earlier, in a smaller doc_id or higher up in the
     same document, or when it has ``min_words`` words or more and also stands earlier. Documents whose lines all go keep
-    an empty text; null texts stay null, and rows without a doc_id stay as they are. All columns are kept; only ``text`` changes.
+    an empty text; null texts stay null, and rows without a doc_id stay as they are. All columns are kept, whatever their
+    names; only ``text`` changes. A column of ``docs`` named like ``count`` gives way to it.
     """
     single, runs = _suffixes(docs, min_lines, min_words)
     later = later_copies(runs).select("doc_id", F.explode(F.sequence("line", F.col("line") + min_lines - 1)).alias("line"))
-    gone = staged(later.unionByName(later_copies(single)).groupBy("doc_id").agg(F.collect_set("line").alias("__gone")), "gone")
+    gone = staged(later.unionByName(later_copies(single)).groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
     # The list of deletions grows with the corpus, so it is joined by merging at every size and never broadcast.
-    gone = gone.withColumnRenamed("doc_id", "__doc").hint("merge")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
-    rows = docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left").withColumn("__lines", lines)
-    count = F.coalesce(F.size("__gone"), F.lit(0))
-    return rows.select(*[F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)
-                         .alias("text") if c == "text" else docs[c] for c in docs.columns], count.alias("removed_lines"))
+    gone = gone.hint("merge")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so that no name can clash
+    rows = whole.join(gone, F.col("row.doc_id").cast("long") == gone["doc_id"], "left").select(
+        "row", "gone", F.split("row.text", "\n", -1).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(F.col("gone").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(text)
+    return rows.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != count],
+                       F.coalesce(F.size("gone"), F.lit(0)).alias(count))

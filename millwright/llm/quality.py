@@ -49,6 +49,25 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+_FILTER_BITS = 1 << 23  # of the filter of labelled ids: at most 131,072 rows of 64 bits are broadcast
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose doc_id is among ``ids``: a Bloom filter of fixed size first, so that few other texts are shuffled,
+    then the exact join, which is the same at every size."""
+    def places(c: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(seed), c), F.lit(_FILTER_BITS)) for seed in (1, 2)]
+
+    bit = lambda place: F.shiftleft(F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = staged(ids.select(F.explode(F.array(*places("doc_id"))).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(bit(F.col("place"))).alias("bits")), "filter")
+    likely = texts
+    for i, place in enumerate(places("doc_id")):
+        own = words.select(F.col("word").alias(f"word{i}"), F.col("bits").alias(f"bits{i}"))
+        likely = likely.join(F.broadcast(own), F.shiftright(place, 6) == F.col(f"word{i}")).where(F.col(f"bits{i}").bitwiseAND(bit(place)) != 0)
+    return likely.select(*texts.columns).join(ids.hint("merge"), "doc_id", "left_semi")
+
+
 def log_ratio(docs: DataFrame, labels: DataFrame, max_docs: int | None = None) -> np.ndarray:
     """Per bucket log p(target) - log p(raw), each with one count added to every bucket.
 
@@ -59,7 +78,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, max_docs: int | None = None) -
     if max_docs is not None:
         chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    target, raw = (gram_counts(d) + 1 for d in (texts.join(chosen, "doc_id", "left_semi"), texts))
+    target, raw = (gram_counts(d) + 1 for d in (_only(texts, staged(chosen, "chosen")), texts))
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -81,34 +100,38 @@ def gumbel(doc_id: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
+def _narrowed(rows: DataFrame, column: str, left: int, descending: bool, bins: int, small: int) -> tuple[DataFrame, int, int]:
+    """Rows among which the ``left``-th by ``column`` is: at most ``small``, or all of one value. Also how many, and its number there."""
+    n, lo, hi = rows.agg(F.count("*"), F.min(column), F.max(column)).first()
+    while n > small and hi > lo:
+        # Bounds are compared exactly; bins only have to be monotonous.
+        slot = F.least(F.lit(bins - 1), F.floor((F.col(column).cast("double") - float(lo)) / ((float(hi) - float(lo)) / bins)))
+        counts = sorted((tuple(r) for r in rows.groupBy(slot).agg(F.count("*"), F.min(column), F.max(column)).collect()), reverse=descending)
+        for _, n, lo, hi in counts:
+            if left <= n:
+                break
+            left -= n
+        rows = rows.where(F.col(column).between(lo, hi))
+    return rows, n, left
+
+
 def top_k(rows: DataFrame, k: int, bins: int = 1024, small: int = 20_000) -> tuple[float, int] | None:
     """(key, doc_id) of the k-th row of (key, doc_id) by falling key, then rising doc_id; None: all rows.
 
-    Histograms of the keys narrow the interval around it until few rows are left; nothing is sorted as a whole.
+    Histograms of the keys, and among rows of one key of the ids, narrow the interval around it until at most ``small`` rows are
+    left or all are the same; nothing is sorted as a whole, and any number of rows may share a key or an id.
     """
     if k >= rows.count():
         return None
-    lo, hi = rows.agg(F.min("key"), F.max("key")).first()
-    inside, left = rows, k
-    while hi > lo:
-        step = (hi - lo) / bins
-        slot = F.least(F.lit(bins - 1), F.floor((F.col("key") - lo) / step))
-        counts = sorted(((r[0], r[1], r[2], r[3]) for r in inside.groupBy(slot).agg(
-            F.count("*"), F.min("key"), F.max("key")).collect()), reverse=True)
-        for _, n, lowest, highest in counts:
-            if left <= n:
-                break
-            left -= n
-        lo, hi = lowest, highest
-        inside = inside.where(F.col("key").between(lo, hi))
-        if n <= small:
-            break
-    ranked = inside.groupBy("key", "doc_id").count().orderBy(F.desc("key"), "doc_id").limit(small).collect()
-    for key, doc_id, n in ranked:
-        left -= n
-        if left <= 0:
+    inside, n, left = _narrowed(rows, "key", k, True, bins, small)
+    if n > small:  # of one key
+        inside, n, left = _narrowed(inside, "doc_id", left, False, bins, small)
+    if n > small:  # of one key and id
+        return tuple(inside.select("key", "doc_id").first())
+    for key, doc_id in inside.select("key", "doc_id").orderBy(F.desc("key"), "doc_id").collect():
+        left -= 1
+        if not left:
             return key, doc_id
-    return ranked[-1][0], ranked[-1][1]
 
 
 def resample(docs: DataFrame, ratio: np.ndarray, fraction: float = 0.5, length: int = 100, seed: int = 11) -> DataFrame:

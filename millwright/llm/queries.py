@@ -180,7 +180,7 @@ p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l
 m AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY line, after) AS first_at,
              min((doc_id, i)) OVER (PARTITION BY line) AS first_single FROM p),
 c AS (SELECT *, after IS NOT NULL AND first_at < (doc_id, i) AS copy,
-             first_single < (doc_id, i) AND len(regexp_extract_all(line, '{_WORDS_RE}')) >= 50 AS passage FROM m),
+             first_single < (doc_id, i) AND len(regexp_extract_all(line, '{_WORDS_RE}')) >= 13 AS passage FROM m),
 g AS (SELECT *, copy OR passage OR coalesce(lag(copy) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM c),
 o AS (SELECT doc_id, count(*) FILTER (gone) AS removed_lines, count(*) FILTER (NOT gone) AS kept,
              string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text FROM g GROUP BY doc_id)

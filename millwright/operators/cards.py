@@ -183,6 +183,32 @@ def edges(cards_df: DataFrame) -> DataFrame:
     return edges_about(cards_df).unionByName(edges_contradicts(cards_df)).unionByName(edges_supersedes(cards_df))
 
 
+def incident_edges(cards_df: DataFrame, ids: DataFrame, block: int = 1024) -> DataFrame:
+    """Edges of the whole graph that touch one of the ids (column ``id``) at either end, each once, without expanding the graph.
+
+    ABOUT and CONTRADICTS edges are linear in the cards and are filtered. Of the SUPERSEDES edges only the spans of the ids are
+    expanded, and from the other end, for each resolved fix among the ids, the spans that reach it: those that start no later.
+    Spans are met in blocks by their first number, so what is read beyond the result is at most a block per fix.
+    """
+    wanted = ids.select(F.col("id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    narrow = edges_about(cards_df).unionByName(edges_contradicts(cards_df))
+    starts = narrow.join(wanted, narrow["from_id"] == wanted["id"], "left_semi")
+    others = narrow.join(wanted, narrow["from_id"] == wanted["id"], "left_anti")
+    found = starts.unionByName(others.join(wanted, others["to_id"] == wanted["id"], "left_semi"))
+    spans = staged(supersession_spans(cards_df), "spans")
+    order = staged(resolved_fix_order(cards_df), "fix_order")
+    older = expand_spans(spans.join(wanted, spans["card_id"] == wanted["id"], "left_semi"), order, block)
+    block_of = lambda c: F.floor((c - 1) / block).cast("bigint")
+    fixes = order.join(wanted, order["card_id"] == wanted["id"], "left_semi").select(
+        *_PATTERN, "fix_no", F.col("card_id").alias("from_id"), "source_id",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(F.col("fix_no")))).alias("block"))
+    rest = spans.join(wanted, spans["card_id"] == wanted["id"], "left_anti").select(
+        *_PATTERN, F.col("card_id").alias("to_id"), "first_no", "except_source", block_of(F.col("first_no")).alias("block"))
+    newer = fixes.join(rest, [*_PATTERN, "block"]).where(
+        (F.col("first_no") <= F.col("fix_no")) & (F.col("source_id") != F.col("except_source")))
+    return found.unionByName(older).unionByName(_card_edge(newer, "SUPERSEDES"))
+
+
 def edges_for(edge_df: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges that touch one of the ids (column ``id``) at either end, each once."""
     wanted = ids.select("id").distinct()

@@ -95,6 +95,45 @@ def check_window_contains(windows: DataFrame, condition: Column, hours: float, n
             " - ", F.round("lo", 1).cast("string"), F.concat(F.round("hi", 1).cast("string"), F.lit(" h")))))
 
 
+def check_windows_contain(windows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per expected row (asset_id, hours): the failure windows of the asset cover that remaining time."""
+    spans = windows.groupBy("asset_id").agg(F.min("eta_low_h").alias("lo"), F.max("eta_high_h").alias("hi"))
+    df = expected.join(spans, "asset_id", "left")
+    passed = F.coalesce((F.col("lo") <= F.col("hours")) & (F.col("hi") >= F.col("hours")), F.lit(False))
+    return df.select(*_verdict(F.concat(F.col("asset_id"), F.lit(" window holds "), F.col("hours").cast("string"), F.lit(" h")), passed,
+                               F.concat_ws(" - ", F.round("lo", 1).cast("string"), F.concat(F.round("hi", 1).cast("string"), F.lit(" h")))))
+
+
+def check_edges(edges: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per expected row (relation, from_source, to_source): an edge leads from a card of the one source to a card of the other."""
+    def source(end: str) -> Column:
+        return F.regexp_extract(end, r"^CARD-(.*)-\d+$", 1)
+
+    found = edges.select("relation", source("from_id").alias("from_source"), source("to_id").alias("to_source"), F.lit(1).alias("hit"))
+    keys = ["relation", "from_source", "to_source"]
+    counts = expected.join(found, keys, "left").groupBy(*keys).agg(F.count("hit").alias("n"))
+    return counts.select(*_verdict(F.concat_ws(" ", F.lit("edge"), "from_source", "relation", "to_source"), F.col("n") > 0,
+                                   F.concat(F.col("n").cast("string"), F.lit(" edge(s)"))))
+
+
+def check_matches(matches: DataFrame, anomalies: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per expected row (asset_id, failure_mode, is_match): a live anomaly of the asset matches an episode of that mode, or none does."""
+    found = matches.where("is_match").join(anomalies.select("anomaly_id", "asset_id"), "anomaly_id").select(
+        "asset_id", "failure_mode", F.lit(1).alias("hit"))
+    keys = ["asset_id", "failure_mode"]
+    counts = expected.join(found, keys, "left").groupBy(*keys, "is_match").agg(F.count("hit").alias("n"))
+    kind = F.when(F.col("is_match"), "matches").otherwise("matches no")
+    return counts.select(*_verdict(F.concat_ws(" ", kind, "asset_id", "failure_mode"), (F.col("n") > 0) == F.col("is_match"),
+                                   F.concat(F.col("n").cast("string"), F.lit(" match(es)"))))
+
+
+def check_phrases_once(df: DataFrame, column: str, phrases: list[str]) -> DataFrame:
+    """Each phrase stands in exactly one row; one scan for all of them."""
+    counts = df.agg(*[F.count_if(F.contains(F.col(column), F.lit(p))).alias(f"n{i}") for i, p in enumerate(phrases)])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(f"n{i}").alias("n")) for i, p in enumerate(phrases)])).alias("r"))
+    return rows.select("r.*").select(*_verdict(F.concat(F.lit("phrase appears once: "), F.col("phrase")), F.col("n") == 1, F.col("n")))
+
+
 def check_unique(df: DataFrame, keys: list[str], name: str | None = None) -> DataFrame:
     """No key occurs twice. Counting is partial before the shuffle; only key counts move."""
     dup = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))

@@ -2,14 +2,16 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millwright.llm import (decontaminate, graph, line_dedup, mixing, quality, secret_scan, similar, simhash, sketches,
+from millwright.llm import (decontaminate, graph, line_dedup, mixing, quality, secret_scan, simhash, sketches,
                             substring_dedup, toxicity, warc)
 
 SMALL = "/root/testdata/sf0.001"
@@ -234,69 +236,6 @@ def test_links_within_crowded_cells(spark):
         assert {r.node: r.component for r in got.collect()} == want
 
 
-def test_similar_documents_against_brute_force(spark, odd, empty):
-    rng = random.Random(5)
-    made = []
-    for group in range(12):
-        text = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 300))]
-        for copy in range(5):
-            made.append((1000 + 10 * group + copy, " ".join(text)))
-            for _ in range(1 + len(text) // 150):
-                text[rng.randrange(len(text))] = "changed"
-    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
-    rows = docs.collect()
-    grams = lambda t: {tuple(w[i:i + 5]) for w in [words(t.lower())] for i in range(max(1, len(w) - 4))}
-    sets = {r.doc_id: grams(r.text or "") for r in rows if r.doc_id is not None}
-    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
-    got = similar.similar_documents(docs)
-    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in rows)
-    label = {r.doc_id: r.component_id for r in got.collect()}
-    assert label[None] is None
-    wanted = [p for p, j in alike.items() if j >= 0.85]
-    assert len(wanted) > 20 and all(label[a] == label[b] for a, b in wanted)
-    close = {p for p, j in alike.items() if j >= 0.6}
-    for a, b in label.items():  # every member of a group is close to some other member
-        if a is not None and a != b:
-            assert any(label[c] == b and (min(a, c), max(a, c)) in close for c in sets if c != a)
-    assert similar.similar_documents(empty).count() == 0
-    reps = similar.wide_prints(docs.where("doc_id > 100")).select(F.col("doc_id").alias("node"), "wide", "cells")
-    parts = {frozenset((r.node, r.component) for r in graph.components(similar.links(reps, similar.radius_of(0.8), crowd)).collect())
-             for crowd in (2, 10_000)}
-    assert len(parts) == 1
-
-
-def test_similar_documents_link_from_exactly_the_similarity(spark, documents):
-    rng = random.Random(8)
-    texts = {r.doc_id: r.text for r in documents.collect() if r.doc_id is not None}
-    for group in range(30):
-        changed = 1 + group % 10
-        for low in (0, 1):  # (45 - 5) / (45 + 5) shingles are 0.8, one less of both is below
-            text = [f"w{rng.randrange(10 ** 9)}" for _ in range(45 * changed + 4 - low)]
-            texts[10_000 + 10 * group + 2 * low] = " ".join(text)
-            for k in range(changed):
-                text[5 + 30 * k] = f"w{rng.randrange(10 ** 9)}"
-            texts[10_001 + 10 * group + 2 * low] = " ".join(text)
-    sets = {i: {tuple(w[k:k + 5]) for w in [words(t.lower())] for k in range(max(1, len(w) - 4))} for i, t in texts.items()}
-    edges = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    assert sum(a >= 10_000 for a, _ in edges) == 30
-    low = {i: i for i in sets}
-    for _ in sets:
-        for a, b in edges:
-            low[a] = low[b] = min(low[a], low[b])
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()} == low
-
-
-def test_links_of_members_far_apart_in_their_cell(spark):
-    rng = random.Random(9)
-    prints = [rng.randbytes(64) for _ in range(75)]
-    reps = spark.createDataFrame([(i, prints[i % 75], [7]) for i in range(150)], "node long, wide binary, cells array<long>")
-    for crowd in (20, 1000):
-        got = similar.links(reps, 100, crowd)
-        assert {(r.a, r.b) for r in got.collect()} == {(i, i + 75) for i in range(75)}
-        assert similar.links(reps, 100, crowd, check=lambda pairs: pairs.where("a % 2 = 0")).distinct().count() == 38
-
-
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i * 7 % 101, (i + 1) * 7 % 101) for i in range(100)] + [(5, 5), (500, 501), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in graph.components(path).collect()}
@@ -360,7 +299,7 @@ def test_repeated_lines_equal_brute_force(spark, odd, empty, m):
     for i, t in rows:
         if i is not None and t is not None:
             lines = t.split("\n")
-            gone = {k for k, line in enumerate(lines) if len(words(line)) >= 50 and first_line[line] < (i, k)}
+            gone = {k for k, line in enumerate(lines) if len(words(line)) >= 13 and first_line[line] < (i, k)}
             for k in range(len(lines) - m + 1):
                 if first[tuple(lines[k:k + m])] < (i, k):
                     gone |= set(range(k, k + m))
@@ -369,6 +308,10 @@ def test_repeated_lines_equal_brute_force(spark, odd, empty, m):
     got = line_dedup.remove_repeated_lines(docs, m)
     assert got.columns == [*docs.columns, "removed_lines"]
     assert by_id(got, "doc_id", "text") == sorted(want, key=repr)
+    clash = docs.select("doc_id", "text", *[F.lit(7).alias(c) for c in ("gone", "lines", "row", "removed_lines", "__gone", "__lines")])
+    odd_names = line_dedup.remove_repeated_lines(clash, m, count="n")
+    assert odd_names.columns == [*clash.columns, "n"] and odd_names.where("removed_lines = 7").count() == docs.count()
+    assert by_id(odd_names, "doc_id", "text", "n") == by_id(got, "doc_id", "text", "removed_lines")
     assert line_dedup.remove_repeated_lines(empty, m).count() == 0
 
 
@@ -437,6 +380,36 @@ def test_top_k_equals_sorting(spark):
     for k in (1, 17, 150, 304):
         assert quality.top_k(df, k, bins=4, small=3 if k != 150 else 1000) == order[k - 1]
     assert quality.top_k(df, 305) is None
+    same = spark.range(500).select(F.lit(2.5).alias("key"), (F.col("id") % 40).alias("doc_id"))  # all of one key, ids repeated
+    for k in (1, 13, 14, 499):
+        assert quality.top_k(same, k, bins=4, small=5) == (2.5, sorted(i % 40 for i in range(500))[k - 1])
+
+
+def test_weights_equal_plain_counts(spark, documents):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    texts = {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
+
+    def grams(text):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", text.encode())
+        tokens = [bytes(c + 32 if 65 <= c <= 90 else c for c in t) for t in tokens]
+        return [*tokens, *zip(tokens, tokens[1:])]
+
+    def bucket(gram):
+        one = gram if isinstance(gram, bytes) else b" ".join(gram)
+        return int(quality._grams(pa.array([one], pa.binary()).cast(pa.string(), safe=False))[0][-1])
+
+    of = {g: bucket(g) for g in {g for t in texts.values() for g in grams(t)}}
+    raw, target = [1] * quality.BUCKETS, [1] * quality.BUCKETS
+    for i, t in texts.items():
+        for g in grams(t):
+            raw[of[g]] += 1
+            target[of[g]] += i in good
+    n_raw, n_target = sum(raw), sum(target)
+    got = quality.resample(documents, quality.log_ratio(documents, labels)).collect()
+    for r in got[:150]:
+        own = [math.log(target[of[g]] / n_target) - math.log(raw[of[g]] / n_raw) for g in grams(texts[r.doc_id])]
+        assert r.n_grams == len(own) and r.log_weight == pytest.approx(100 * sum(own) / max(1, len(own)), abs=1e-9)
 
 
 # sketches

@@ -301,6 +301,49 @@ def test_stream_sessions_split_like_islands(spark, tmp_path):
     assert got == [(D0, D0 + dt.timedelta(hours=4), 3), (D0 + dt.timedelta(hours=8),) * 2 + (1,)]
 
 
+def _episodes(spark, flagged):
+    """(asset, first, last, hours, peak) of episodes by plain loops: neighbours at most 3 hours apart belong together."""
+    out = []
+    for asset in sorted({f[0] for f in flagged}):
+        for _, h, v in sorted(f for f in flagged if f[0] == asset):
+            if out and out[-1][0] == asset and h - out[-1][2] <= dt.timedelta(hours=3):
+                out[-1] = (asset, out[-1][1], h, out[-1][3] + 1, max(out[-1][4], abs(v)))
+            else:
+                out.append((asset, h, h, 1, abs(v)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("days", [4, 40])
+def test_streamed_episodes_keep_a_bounded_state(spark, tmp_path, days):
+    """One file a day, hours of a file in any order; ten times the history leaves no more state."""
+    import random
+    rng, ddl, flagged = random.Random(days), "asset_id STRING, hr TIMESTAMP_NTZ, vib_resid_pct DOUBLE", []
+    for d in range(days):
+        day = sorted({(rng.choice("ABC"), D0 + dt.timedelta(days=d, hours=rng.randrange(24))) for _ in range(20)}, key=lambda _: rng.random())
+        flagged += [(a, h, rng.uniform(-50, 50)) for a, h in day]
+        spark.createDataFrame(flagged[-len(day):], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "h"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "h"))
+    progress = []
+    got = jobs.session_rows(jobs.run_updates(jobs.stream_episodes(stream, late="30 hours"), ["asset_id", "start_hr"], progress=progress))
+    assert rows(got, "asset_id", "start_hr", "end_hr", "n_hours", "peak_vib_pct") == _episodes(spark, flagged)
+    assert len(progress) >= days and max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 3
+    assert got.where("closed").count() > got.count() // 2 - 6
+
+
+def test_stream_recurrences_open_only_the_days_they_can_reach(spark, tmp_path):
+    from millwright.operators.cards import recurrences
+    ddl = "wo_id STRING, asset_id STRING, failure_mode_code STRING, wo_type STRING, reported_at TIMESTAMP_NTZ, closed_at TIMESTAMP_NTZ"
+    made = [(f"W{i:03d}", "ab"[i % 2], "M", "CORRECTIVE", D0 + dt.timedelta(days=i), D0 + dt.timedelta(days=i, hours=30)) for i in range(80)]
+    for at in range(0, 80, 10):
+        spark.createDataFrame(made[at:at + 10], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    files = []
+    jobs.stream_recurrences(stream, str(tmp_path / "out"), files=files)
+    want = rows(recurrences(spark.createDataFrame(made, ddl)), "wo_id", "recurred_by_wo", "recurred_after_days")
+    assert rows(jobs.stored_recurrences(spark, str(tmp_path / "out")), "wo_id", "recurred_by_wo", "recurred_after_days") == want and want
+    assert len(files) == 8 and files[-1] == files[2] <= 2 * (14 + 2)  # 70 days are stored by then
+
+
 def test_update_refuses_two_changes_of_a_key(spark):
     stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     twice = spark.createDataFrame([(2, "c"), (2, "d")], "k int, v string")

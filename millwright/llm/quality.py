@@ -58,7 +58,9 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     def places(c: str) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(seed), c), F.lit(_FILTER_BITS)) for seed in (1, 2)]
 
-    bit = lambda place: F.shiftleft(F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    def bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
     words = staged(ids.select(F.explode(F.array(*places("doc_id"))).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
         F.bit_or(bit(F.col("place"))).alias("bits")), "filter")
     likely = texts

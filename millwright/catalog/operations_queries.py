@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millwright.catalog import adapters as a
 from millwright.catalog import knowledge_queries as kq
+from millwright.catalog import oee_queries  # noqa: F401  the SQL here names its fragments
 from millwright.catalog.sensor_queries import RS, anomaly_frames, hourly_frame, hours_frame, match_frames, window_frames
 from millwright.catalog.sql import compose, define, near, rounded
 from millwright.functions.exprs import out

@@ -17,7 +17,7 @@ from millwright.operators import matching, quality, questions, scoring, workorde
 from millwright.operators.oee import oee_daily, oee_line_daily
 from millwright.operators.retrieval import recall as recall_cards
 from millwright.params import WorkflowParams
-from millwright.plans.metrics import PLANT_MODEL, metric_query
+from millwright.plans.metrics import PLANT_MODEL, answer, metric_query, store_aggregate
 from millwright.plans.named_queries import NAMED_QUERIES
 from millwright.plans.pipeline import CardPaths, refresh_cards as refresh
 from millwright.session import fresh_path, staged
@@ -252,6 +252,27 @@ def metric_by_mode(spark, sf):
     return df.withColumn("mttr_hours", out(F.col("mttr_hours")))
 
 
+def _stored_metrics(spark, sf):
+    """Tables, and aggregates of the orders: by four dimensions from the base tables, and by two of them from the first."""
+    tables = plant_tables(spark, sf)
+    names = ["breakdowns", "total_downtime_min", "mttr_hours"]
+    fine = store_aggregate(PLANT_MODEL, tables, "work_orders", names, ["failure mode", "seniority", "assets.asset_type", "jobs.wo_type"])
+    return tables, [fine, store_aggregate(PLANT_MODEL, tables, "work_orders", names, ["downtime cause", "wo_type"], [fine])]
+
+
+def metric_stored(spark, sf):
+    """The metrics of ``metric_by_mode`` by other names, from a stored aggregate."""
+    df = answer(PLANT_MODEL, *_stored_metrics(spark, sf), ["jobs.breakdowns", "repairs.total_downtime_min", "mttr hours"],
+                ["downtime cause", "techs.seniority", "equipment.asset_type"], {"wo_type": ["CORRECTIVE"]})
+    return df.withColumn("mttr_hours", out(F.col("mttr_hours")))
+
+
+def metric_rolled_up(spark, sf):
+    """All orders by failure mode, added up from the smaller aggregate."""
+    df = answer(PLANT_MODEL, *_stored_metrics(spark, sf), ["breakdowns", "mttr_hours", "total_downtime_min"], ["failure mode"])
+    return df.withColumn("mttr_hours", out(F.col("mttr_hours")))
+
+
 def metric_totals(spark, sf):
     """Metrics of four tables without dimensions, in one row."""
     names = ["oee_daily.avg_oee", "oee_daily.avg_availability", "oee_daily.avg_performance", "oee_daily.avg_quality",
@@ -576,7 +597,7 @@ _SIMPLE = (
     csv_round_trip, write_clustered, append_new, row_counts, update_by_key, delete_by_key, search_docs, reset_tables,
     refresh_cards, select_evidence, recommend_parts, parts_risk, recommend_technician, draft_orders, draft_summary,
     fold_workflow, refused_events, approved_orders, close_orders, open_orders, drafts_by_status, data_now, metric_by_mode,
-    metric_totals, route_questions, guard_questions, decide_tool, table_answers, search_hits, answer_questions,
+    metric_totals, metric_stored, metric_rolled_up, route_questions, guard_questions, decide_tool, table_answers, search_hits, answer_questions,
     check_suite, check_expected_cards, check_windows, check_edges, check_matches, check_phrases, unique_keys, score_answers, rollup_scores, hit_at_k,
     stream_hourly, stream_residuals, stream_sessions, stream_recurrence, stream_first_failure, stream_incremental_cards)
 QUERIES = {f.__name__: f for f in _SIMPLE}
@@ -663,6 +684,15 @@ SELECT o.failure_mode_code, t.seniority, e.asset_type, count(o.wo_id) AS breakdo
        CAST(sum(o.downtime_min) AS BIGINT) AS total_downtime_min,
        {near("avg(date_diff('minute', o.reported_at, o.closed_at)) / 60")} AS mttr_hours
 FROM orders_v o LEFT JOIN technicians_v t USING (technician_id) LEFT JOIN event_assets_v e USING (asset_id) GROUP BY ALL"""),
+    "metric_stored": compose(f"""
+SELECT o.failure_mode_code, t.seniority, e.asset_type, count(o.wo_id) AS breakdowns,
+       CAST(sum(o.downtime_min) AS BIGINT) AS total_downtime_min,
+       {near("avg(date_diff('minute', o.reported_at, o.closed_at)) / 60")} AS mttr_hours
+FROM orders_v o LEFT JOIN technicians_v t USING (technician_id) LEFT JOIN event_assets_v e USING (asset_id) GROUP BY ALL"""),
+    "metric_rolled_up": compose(f"""
+SELECT failure_mode_code, count(wo_id) AS breakdowns, CAST(sum(downtime_min) AS BIGINT) AS total_downtime_min,
+       {near("avg(date_diff('minute', reported_at, closed_at)) / 60")} AS mttr_hours
+FROM orders_all_v GROUP BY ALL"""),
     "metric_totals": compose(f"""
 SELECT (SELECT {near('avg(oee)')} FROM asset_day_v) AS avg_oee, (SELECT {near('avg(availability)')} FROM asset_day_v) AS avg_availability,
        (SELECT {near('avg(performance)')} FROM asset_day_v) AS avg_performance,

@@ -12,10 +12,12 @@ from millwright.catalog import operations_queries as oq
 from millwright.catalog.sql import FRAGMENTS, compose, define
 from millwright.functions.exprs import out
 from millwright.operators import cards as cd
+from millwright.operators import health
 from millwright.operators import retrieval as rt
 from millwright.operators.search_index import SearchIndex
 from millwright.plans import closed_loop as cl
 from millwright.session import fresh_path
+from millwright.sources.days import DayTable
 from millwright.sources.store import Store, Table
 
 
@@ -114,6 +116,16 @@ def close_loop_edges(spark, sf):
     return cd.incident_edges(cards, ids.select(F.col("card_id").alias("id")))
 
 
+def trailing_stored(spark, sf):
+    """The last days of every asset's readings, stored by day in two batches, the first of them twice."""
+    readings = a.readings(spark, sf)
+    table = DayTable(spark, fresh_path(spark, "readings"), readings.schema, "asset_id", "ts", slots=4)
+    early = F.coalesce(F.dayofmonth("ts") <= 15, F.lit(False))
+    for batch, rows in (("early", readings.where(early)), ("early", readings.where(early)), ("late", readings.where(~early))):
+        table.append(rows, batch)
+    return health.trailing_stored(table, 8)
+
+
 # ---------------------------------------------------------------- SQL
 _D = f"SELECT note_id AS d, {kq.token_list('note_text')} AS toks FROM notes_v WHERE note_id NOT LIKE '%9'"
 kq.bm25_sql("refreshed", kq._Q, _D)
@@ -149,8 +161,9 @@ for _name in _AGAIN:
 
 define("loop_made_v", "SELECT card_id FROM loop_cards_v WHERE source_id IN (SELECT wo_id FROM loop_closed_v)")
 
-QUERIES = {f.__name__: f for f in (merge_on_read, search_refresh, search_index_scoped, close_loop, close_loop_edges)}
+QUERIES = {f.__name__: f for f in (merge_on_read, search_refresh, search_index_scoped, close_loop, close_loop_edges, trailing_stored)}
 ORACLES = {
+    "trailing_stored": compose("SELECT * FROM recent_v"),
     "merge_on_read": compose("""
 SELECT wo_id, asset_id, CASE WHEN wo_id LIKE '%17' THEN 'BACK' ELSE 'CLOSED' END AS status,
        CASE WHEN wo_id NOT LIKE '%17' AND status = 'OPEN' THEN 2 ELSE 1 END * downtime_min AS downtime_min, technician_id

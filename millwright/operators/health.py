@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millwright.functions.exprs import add_days, boundary_diff, ratio_or_null
 from millwright.params import HealthParams
 from millwright.session import staged
+from millwright.sources.days import DayTable
 
 # Column stem of each sensor channel.
 CHANNELS = {"vib": "vibration_rms", "temp": "temperature_c", "pres": "pressure_bar", "curr": "current_a"}
@@ -31,11 +32,23 @@ def trailing_slice(df: DataFrame, key: str, ts: str, days: int) -> DataFrame:
     if oldest is None:
         return df.join(newest, key).withColumn("age_min", F.lit(0).cast("bigint"))
     # One bound for all keys reaches the scan; the exact bound per key follows after the join.
-    recent = df.filter(F.col(ts) > F.lit(oldest).cast("timestamp_ntz"))
-    return recent.join(newest, key).filter(F.col(ts) > add_days(F.col("max_ts"), -days)).withColumn(
+    return _aged(df.filter(F.col(ts) > F.lit(oldest).cast("timestamp_ntz")), newest, key, ts, days)
+
+
+def _aged(df: DataFrame, newest: DataFrame, key: str, ts: str, days: int) -> DataFrame:
+    return df.join(newest, key).filter(F.col(ts) > add_days(F.col("max_ts"), -days)).withColumn(
         "age_min", boundary_diff("minute", F.col(ts), F.col("max_ts")))
 
 
+def trailing_stored(table: DayTable, days: int) -> DataFrame:
+    """:func:`trailing_slice` of a stored table, of which only the folders of each key's own last days are opened.
+
+    A key that fell silent long ago costs the few folders of its last days, not a scan back to them.
+    """
+    rows, newest = table.trailing(days)
+    return _aged(rows, newest, table.key, table.ts, days)
+
+
 def running_only(df: DataFrame, key: str, load: str, share: float) -> DataFrame:
     """Rows whose load is at least ``share`` of the key's mean load."""
     means = staged(df.groupBy(key).agg(F.avg(load).alias("__mean_load")), "mean_load")

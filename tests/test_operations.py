@@ -1,5 +1,6 @@
 """Tables, drafting, workflow, metrics, questions, checks and streaming."""
 
+import dataclasses
 import datetime as dt
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from millwright.operators import quality, questions
 from millwright.operators import workorders as wo
 from millwright.params import WorkflowParams
-from millwright.plans.metrics import PLANT_MODEL, metric_query
+from millwright.plans.metrics import PLANT_MODEL, answer, metric_query, resolve, store_aggregate
 from millwright.plans.named_queries import NAMED_QUERIES
 from millwright.schemas import SCHEMAS
 from millwright.sources import tables as tb
@@ -206,6 +207,43 @@ def test_metric_query(table):
             metric_query(PLANT_MODEL, t, *bad)
 
 
+def test_names_are_resolved():
+    known = {"Technician": "technicians.full_name", "production  line": "line_oee.line_id", "downtime cause": "work_orders.failure_mode_code",
+             "equipment.asset type": "assets.asset_type", "wo_type": "work_orders.wo_type", "oee_daily.oee_date": "oee_daily.oee_date"}
+    assert {n: resolve(PLANT_MODEL, n) for n in known} == known
+    assert resolve(PLANT_MODEL, "jobs.MTTR hours", "metrics") == "work_orders.mttr_hours"
+    twins = dataclasses.replace(PLANT_MODEL, synonyms={"work_orders.wo_type": ("kind",), "assets.asset_type": ("kind",)})
+    for model, name in ((PLANT_MODEL, "colour"), (twins, "kind"), (PLANT_MODEL, "")):
+        with pytest.raises(ValueError):
+            resolve(model, name)
+
+
+def test_stored_aggregates_answer_like_base_tables(spark, table):
+    t = plant(table)
+    names = ["breakdowns", "total_downtime_min", "mttr_hours"]
+    fine = store_aggregate(PLANT_MODEL, t, "work_orders", names, ["failure mode", "technician", "wo_type", "assets.asset_type"])
+    gone = {**t, "work_orders": t["work_orders"].where("raise_error('base table read') IS NULL")}
+    coarse = store_aggregate(PLANT_MODEL, gone, "work_orders", names, ["failure mode"], [fine])
+    total = store_aggregate(PLANT_MODEL, gone, "work_orders", names, [], [fine, coarse])
+    assert (fine.rows, coarse.rows, total.rows) == (3, 2, 1)
+    cases = [(["failure mode"], {}, coarse), ([], {}, total), (["technician"], {"failure mode": ["M"]}, fine),
+             (["assets.asset_type", "failure mode"], {"wo_type": ["CORRECTIVE", "x"]}, fine), ([], {"wo_type": []}, fine)]
+    for dims, equal, taken in cases:
+        used: list = []
+        got = answer(PLANT_MODEL, gone, [fine, coarse, total], [f"jobs.{n}" for n in names], dims, equal, used)
+        base = answer(PLANT_MODEL, t, [], [f"work_orders.{n}" for n in names], dims, equal)
+        assert used == [taken]
+        assert got.schema.names == base.schema.names and rows(got, *got.columns) == rows(base, *base.columns)
+    used = []
+    both = answer(PLANT_MODEL, t, [fine, coarse, total], ["mttr_hours", "avg_oee"], ["assets.asset_id"], {"assets.asset_id": ["P1"]}, used)
+    assert used == [None, None] and rows(both, "asset_id", "mttr_hours", "avg_oee") == [("P1", 1.5, .5)]
+    empty = store_aggregate(PLANT_MODEL, {**t, "work_orders": t["work_orders"].limit(0)}, "work_orders", names, [])
+    assert rows(answer(PLANT_MODEL, gone, [empty], names, []), *names) == [(0, None, None)]
+    odd = dataclasses.replace(PLANT_MODEL, metrics={"work_orders": {"most": lambda: F.max("downtime_min")}})
+    with pytest.raises(ValueError):
+        store_aggregate(odd, t, "work_orders", ["most"], [])
+
+
 def ask(spark, *texts):
     return spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "qid STRING, question STRING")
 

@@ -47,35 +47,31 @@ def interval_min(probes: DataFrame, events: DataFrame, keys: list[str], probe_id
     empty = [F.lit(None).cast(types[n]).alias(n) for n in names]
     id_type = pr.schema[_ID].dataType
 
-    rows = ev.select(*keys, _B, _T, F.lit(0).alias(_KIND), F.lit(None).cast(id_type).alias(_ID), *names)
-    rows = rows.unionByName(pr.select(*keys, _B, _T, F.lit(1).alias(_KIND), _ID, *empty))
-    if length_us is not None:
-        end = pr.withColumn(_T, F.col(_T) + F.lit(length_us)).withColumn(_B, _bucket(F.col(_T), grain_us))
-        rows = rows.unionByName(end.select(*keys, _B, _T, F.lit(2).alias(_KIND), _ID, *empty))
+    # One row per event, one per end of an interval.
+    def end(t: Column, kind: int) -> Column:
+        return F.struct(_bucket(t, grain_us).alias(_B), t.alias(_T), F.lit(kind).alias(_KIND))
+
+    both = [end(F.col(_T), 1)] + ([] if length_us is None else [end(F.col(_T) + F.lit(length_us), 2)])
+    pr = pr.select(*keys, _ID, F.explode(F.array(*both)).alias("e")).select(*keys, f"e.{_B}", f"e.{_T}", f"e.{_KIND}", _ID, *empty)
+    rows = ev.select(*keys, _B, _T, F.lit(0).alias(_KIND), F.lit(None).cast(id_type).alias(_ID), *names).unionByName(pr)
 
     # Inside the first bucket: from lo on. Inside the last: up to lo + length. Events come first at equal times.
     part = Window.partitionBy(*keys, _B)
     span = (Window.unboundedPreceding, Window.currentRow)
     after = part.orderBy(F.col(_T).desc(), F.col(_KIND)).rowsBetween(*span)
     before = part.orderBy(F.col(_T).asc(), F.col(_KIND)).rowsBetween(*span)
-    scanned = rows.select(
-        *keys, _B, _KIND, _ID,
+    ends = rows.select(
+        *keys, _B, _T, _KIND, _ID,
         *[F.min(n).over(after).alias(f"__a_{n}") for n in names],
-        *([F.min(n).over(before).alias(f"__p_{n}") for n in names] if length_us is not None else []))
-    ends = scanned.filter(F.col(_KIND) > 0)
-    edge = [F.when(F.col(_KIND) == 1, F.col(f"__a_{n}")).otherwise(F.col(f"__p_{n}")) if length_us is not None
-            else F.col(f"__a_{n}") for n in names]
-    edge_part = ends.select(_ID, *[e.alias(n) for e, n in zip(edge, names)])
-
-    # Whole buckets in between, from one row per key and bucket.
-    marks = pr.select(*keys, _B).distinct().select(*keys, _B, *empty)
-    per_bucket = ev.groupBy(*keys, _B).agg(*[F.min(n).alias(n) for n in names])
-    level = per_bucket.unionByName(marks).groupBy(*keys, _B).agg(*[F.min(n).alias(n) for n in names])
+        *([F.min(n).over(before).alias(f"__p_{n}") for n in names] if length_us is not None else [])).filter(F.col(_KIND) > 0)
+
+    # Whole buckets in between, from one row per key and bucket that has an event or an end.
+    level = rows.groupBy(*keys, _B).agg(*[F.min(n).alias(n) for n in names])
     order = Window.partitionBy(*keys).orderBy(_B)
     if length_us is None:
         rest = order.rangeBetween(1, Window.unboundedFollowing)
-        inner = level.select(*keys, _B, *[F.min(n).over(rest).alias(n) for n in names])
-        middle = pr.join(inner, [*keys, _B]).select(_ID, *names)
+        inner = level.select(*keys, _B, *[F.min(n).over(rest).alias(f"__l_{n}") for n in names])
+        value = lambda n: F.least(f"__a_{n}", f"__l_{n}")
     else:
         whole = length_us // grain_us
         longer = order.rangeBetween(1, whole)
@@ -87,11 +83,12 @@ def interval_min(probes: DataFrame, events: DataFrame, keys: list[str], probe_id
             frames += [F.lit(None).cast(types[n]).alias(f"__s_{n}") for n in names]
         inner = level.select(*keys, _B, *frames)
         last = _bucket(F.col(_T) + F.lit(length_us), grain_us)
-        middle = pr.join(inner, [*keys, _B]).select(
-            _ID, *[F.when(last - F.col(_B) > whole, F.col(f"__l_{n}")).otherwise(F.col(f"__s_{n}")).alias(n)
-                   for n in names])
+        middle = lambda n: F.when(last - F.col(_B) > whole, F.col(f"__l_{n}")).otherwise(F.col(f"__s_{n}"))
+        value = lambda n: F.when(F.col(_KIND) == 1, F.least(F.col(f"__a_{n}"), middle(n))).otherwise(F.col(f"__p_{n}"))
 
-    found = edge_part.unionByName(middle).groupBy(_ID).agg(*[F.min(n).alias(n) for n in names])
+    # The ends are dealt by key and bucket already; only the bucket level moves.
+    found = ends.join(inner, [*keys, _B]).select(_ID, *[value(n).alias(n) for n in names]).groupBy(_ID).agg(
+        *[F.min(n).alias(n) for n in names])
     keep = reduce(or_, [F.col(n).isNotNull() for n in names])
     return found.filter(keep).select(F.col(_ID).alias(probe_id), *names)
 

@@ -33,8 +33,8 @@ def raw_frame(spark, sf, sources=None):
 
 def cards_frame(spark, sf):
     orders, sources = a.orders_wo(spark, sf), sources_frame(spark, sf)
-    raw = staged(raw_frame(spark, sf, sources), "cards_raw")
-    keys = sources.drop("source_text")
+    extracted = staged(ex.with_cards(sources, LEX).drop("source_text"), "extracted")  # texts are read and hashed once
+    raw, keys = staged(ex.number_cards(extracted, BY, STAMP), "cards_raw"), extracted.drop("cards")
     fixing = cd.fixing_changes(a.changes(spark, sf), orders, a.CARD.fix_window_min)
     stale = cd.stale_cards(raw, keys, a.changes(spark, sf), fixing, a.CARD)
     recur = cd.recurrences(orders, a.CARD.recur_days)

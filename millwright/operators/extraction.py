@@ -68,19 +68,23 @@ def asset_context(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """Card-worthy sentences of a note with the last asset mentioned so far; none before the first mention."""
     facts = F.transform(split_sentences(text), lambda s: _facts(s, lexicon))
     useful = F.filter(facts, lambda f: (f["asset"] != "") | f["kind"].isNotNull())
-    element = "STRUCT<sentence: STRING, asset: STRING, mode: STRING, kind: STRING, recurred: BOOLEAN>"
-    start = F.struct(F.lit(None).cast("string").alias("asset"),
-                     F.array().cast(f"ARRAY<{element}>").alias("kept"))
-
-    def step(acc, f):
-        asset = F.when(f["asset"] != "", f["asset"]).otherwise(acc["asset"])
-        row = F.struct(f["sentence"].alias("sentence"), asset.alias("asset"), f["mode"].alias("mode"),
-                       f["kind"].alias("kind"), f["recurred"].alias("recurred"))
-        kept = F.when(asset.isNotNull() & f["kind"].isNotNull(), F.array_append(acc["kept"], row)).otherwise(
-            acc["kept"])
-        return F.struct(asset.alias("asset"), kept.alias("kept"))
-
-    return F.aggregate(useful, start, step, lambda acc: acc["kept"])
+
+    def spread(facts):
+        """From each mention to the next one, the sentences in between share its asset: work is linear in the sentences."""
+        def runs(starts):
+            def run(p, j):
+                asset = F.get(facts, p - 1)["asset"]
+                until = F.coalesce(F.get(starts, j + 1), F.size(facts) + 1)
+                kept = F.filter(F.slice(facts, p, until - p), lambda f: f["kind"].isNotNull())
+                return F.transform(kept, lambda f: F.struct(
+                    f["sentence"].alias("sentence"), asset.alias("asset"), f["mode"].alias("mode"), f["kind"].alias("kind"),
+                    f["recurred"].alias("recurred")))
+
+            return F.flatten(F.transform(starts, run))
+
+        return let(F.array_compact(F.transform(facts, lambda f, i: F.when(f["asset"] != "", i + 1))), runs)
+
+    return let(useful, spread)
 
 
 def _card(kind, asset, mode, text, outcome, confidence, lexicon, parts=None, symptom=None) -> Column:

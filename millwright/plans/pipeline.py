@@ -69,7 +69,7 @@ def card_view(spark: SparkSession, paths: CardPaths, sources: DataFrame, work_or
               technicians: DataFrame, params: CardParams = CardParams()) -> DataFrame:
     """Cards read model over the stored extraction."""
     raw = read_table(spark, paths.raw, SCHEMAS["cards_raw"])
-    keys = sources.drop("source_text")
+    keys = staged(sources.drop("source_text"), "card_sources")  # texts are read and hashed once
     fixing = cd.fixing_changes(changes, work_orders, params.fix_window_min)
     stale = cd.stale_cards(raw, keys, changes, fixing, params)
     return cd.cards(raw, keys, work_orders, technicians, cd.recurrences(work_orders, params.recur_days), stale)

@@ -280,3 +280,26 @@ def test_duplicate_hit_counts_at_its_last_position(spark):
     r = rt.rank_cards(hits).collect()
     assert len(r) == 1 and r[0].score == pytest.approx(0.5 + 1 / 10)
     assert RankParams().type_weight["GOTCHA"] == 2.6
+
+
+def test_sentences_take_the_last_asset_mentioned(spark):
+    """Against a plain loop, with mentions anywhere, none at all, null and empty notes, and a note of 20,000 sentences."""
+    rng = random.Random(8)
+    kinds = {"Never skip it": "GOTCHA", "Always look": "CONVENTION", "Fix = new bearing": "FIX!", "All quiet": None}
+
+    def note(n, share):
+        return [(rng.choice(list(kinds)), rng.choice(("P1", "cv2", "AC1")) if rng.random() < share else "") for _ in range(n)]
+
+    notes = [note(rng.randrange(12), share) for share in (0, 0.2, 0.5, 1) for _ in range(15)] + [note(20_000, 0.01)]
+    texts = [" ".join(f"{said} {asset}".strip() + "." for said, asset in n) for n in notes] + [None, "", " "]
+    want = []
+    for n in notes + [[]] * 3:
+        last, kept = None, []
+        for said, asset in n:
+            last = asset.upper() or last
+            if last and kinds[said]:
+                kept.append((last, kinds[said]))
+        want.append(kept)
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
+    got = df.select("i", ex.asset_context(F.col("text")).alias("c")).orderBy("i").collect()
+    assert [[(f.asset, f.kind) for f in r.c] for r in got] == want

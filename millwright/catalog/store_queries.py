@@ -110,9 +110,11 @@ def close_loop(spark, sf):
 
 def close_loop_edges(spark, sf):
     """Edges that the cards of the closing notes bring into the graph."""
-    cards = cl.cards(_loop(spark, sf), a.changes(spark, sf), a.technicians(spark, sf), a.CARD)
-    ids = cards.where(F.col("source_excerpt").endswith("Never skip the check.") & (
-        F.col("source_excerpt").contains("fixed by hand") | (F.col("card_type") == "GOTCHA")) & (F.col("source_type") == "WORK_ORDER"))
+    store = _loop(spark, sf)
+    cards = cl.cards(store, a.changes(spark, sf), a.technicians(spark, sf), a.CARD)
+    closed = store.read("work_orders").where(F.col("resolution_note").endswith("fixed by hand. Never skip the check.")).select(
+        F.col("wo_id").alias("source_id"))
+    ids = cards.where("source_type = 'WORK_ORDER'").join(closed, "source_id", "left_semi")
     return cd.incident_edges(cards, ids.select(F.col("card_id").alias("id")))
 
 

@@ -303,3 +303,29 @@ def test_sentences_take_the_last_asset_mentioned(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
     got = df.select("i", ex.asset_context(F.col("text")).alias("c")).orderBy("i").collect()
     assert [[(f.asset, f.kind) for f in r.c] for r in got] == want
+
+
+@pytest.mark.parametrize("most", [40, 2_000_000])
+def test_scoring_in_cells_keeps_few_rows_and_equals_brute_force(spark, most):
+    """Two queries out of three share the common term with every document: the pairs never leave the cells."""
+    asked = [(q, t, 1.0 + t) for q in ("a", "b", None) for t in ((0, 1) if q else (2, 9))]
+    hit = [(f"d{i:03d}", t, x) for i in range(300) for t, x in ((0, float(i % 7)), (1, float(i % 5)), (2, 1.0)) if t < 2 or i % 100 == 0]
+    hit += [(None, 0, 6.0), ("d299", 0, 0.5)]  # a document without id, and a repeated posting
+    want = []
+    for query in ("a", "b", None):
+        score = {}
+        for d, t, x in hit:
+            for q, wanted, weight in asked:
+                if q == query and wanted == t:
+                    score[d] = score.get(d, 0.0) + weight * x
+        best = sorted(((-s, d is not None, d or "", d) for d, s in score.items() if s > 0))[:4]
+        want += [(query, d, -s) for s, _, _, d in best]
+    cells = rt.cells_topk(spark.createDataFrame(asked, "__q STRING, __t LONG, weight DOUBLE"),
+                          spark.createDataFrame(hit, "__d STRING, __t LONG, impact DOUBLE"), 4, len(asked), len(hit), most)
+    rows = [tuple(r) for r in cells.collect()]
+    assert len(rows) <= 3 * 4 * max(1, -(-len(hit) // most), 8)
+    got = []
+    for query in ("a", "b", None):
+        own = sorted(((-s, d is not None, d or "", d) for q, d, s in rows if q == query))[:4]
+        got += [(query, d, -s) for s, _, _, d in own]
+    assert got == want

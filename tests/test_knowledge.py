@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millwright.operators import cards as cd
 from millwright.operators import extraction as ex
 from millwright.operators import retrieval as rt
-from millwright.params import RankParams
+from millwright.params import Lexicon, RankParams
 from millwright.plans.pipeline import CardPaths, refresh_cards
 
 D0 = dt.datetime(2024, 1, 1, 12)
@@ -323,9 +323,22 @@ def test_scoring_in_cells_keeps_few_rows_and_equals_brute_force(spark, most):
     cells = rt.cells_topk(spark.createDataFrame(asked, "__q STRING, __t LONG, weight DOUBLE"),
                           spark.createDataFrame(hit, "__d STRING, __t LONG, impact DOUBLE"), 4, len(asked), len(hit), most)
     rows = [tuple(r) for r in cells.collect()]
-    assert len(rows) <= 3 * 4 * max(1, -(-len(hit) // most), 8)
+    assert len(rows) <= 3 * 4 * rt._blocks(len(hit), most, spark.sparkContext.defaultParallelism)
     got = []
     for query in ("a", "b", None):
         own = sorted(((-s, d is not None, d or "", d) for q, d, s in rows if q == query))[:4]
         got += [(query, d, -s) for s, _, _, d in own]
     assert got == want
+
+
+def test_texts_are_lowered_once_and_trimmed_only_where_needed(spark):
+    """Keywords share one lower-cased text; a trimmed text is the same whichever end had white space."""
+    from millwright.functions import text as tx
+    lowered = str(tx.classify_lower(F.col("x"))).lower()
+    assert "lower(" not in lowered and str(ex._facts(F.col("x"), Lexicon())).lower().count("lower(") <= 1
+    texts = ["", " ", "a. b", " a. b", "a. b ", "\u2003a!\u2003b?\u2028", "a.\n\nb.\n", "a\u0085", "\u3000", "a .b! ", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    whole = F.regexp_replace(F.coalesce("t", F.lit("")), r"(?U)^\s+|\s+$", "")
+    want = F.filter(F.split(whole, r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
+    for r in frame.select("i", want.alias("w"), tx.split_sentences(F.col("t")).alias("g")).collect():
+        assert r.g == r.w, r.i

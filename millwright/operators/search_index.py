@@ -68,10 +68,13 @@ class SearchIndex:
         text = F.coalesce("doc_text", F.lit(""))
         hashed = F.md5(F.concat_ws("\x00", F.coalesce(scope, F.lit("\x01")), text))
         docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), scope.alias("scope"), text.alias("doc_text"), hashed.alias("text_hash"))
-        known = self.store.read("documents").select("doc_id", "text_hash")
-        new = docs.join(known, ["doc_id", "text_hash"], "left_anti")
+        new = docs
+        if self.store.pieces("documents"):
+            new = docs.join(self.store.read("documents").select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
         words = new.select("doc_id", "scope", "text_hash", tokens(F.col("doc_text"), self.rules).alias("tokens"))
         words = words.withColumn("doc_len", F.size("tokens").cast("long")).withColumn("tokens", F.array_append("tokens", F.lit(_MARK)))
+        # A document's words are dealt as one row and counted where they land: a row per word and document is not shuffled.
+        words = words.repartition("doc_id", "text_hash")
         counts = exploded(words, F.col("tokens"), ["doc_id", "scope", "text_hash", "doc_len"], "term").groupBy(
             "doc_id", "scope", "text_hash", "doc_len", "term").agg(F.count("*").alias("tf"))
         counts = staged(counts, "postings")
@@ -200,8 +203,9 @@ class SearchIndex:
         scores = self._scored(able, postings, weights, on).where("score > 0")
         # Sums of doubles depend on their order in the last bits, so equal documents are compared on 9 decimals.
         order = Window.partitionBy("__q").orderBy(F.desc(F.round("score", 9)), "doc_id")
-        return scores.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < k).select(
-            F.col("__q").alias(query_id), "doc_id", "score", "position")
+        # The filter is on the row number itself, so that Spark drops the others of a query before it deals the rows by query.
+        return scores.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select(
+            F.col("__q").alias(query_id), "doc_id", "score", (F.col("nth") - 1).alias("position"))
 
     @staticmethod
     def _seeds(asked: DataFrame, postings: DataFrame, on: list[str], wanted: int) -> DataFrame:

@@ -104,3 +104,30 @@ def test_an_empty_index(spark):
     assert index.search(queries, 3).count() == 0 and index.merge() == 0
     assert index.refresh(docs(spark, {"D1": ("bak", "s0")}).limit(0)) == 0
     assert index.search(queries, 3, scoped=True).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refresh_deals_documents_not_words(spark, monkeypatch):
+    """Rows of one word and document are counted where the document's words lie; an empty index is not joined with."""
+    plans, before = [], search_index.staged
+    monkeypatch.setattr(search_index, "staged", lambda df, name="stage": (plans.append(_plan(df)), before(df, name))[1])
+    index = SearchIndex(spark, fresh_path(spark, "index"))
+    held = {"D1": ("alpha beta alpha", "s0"), "D2": ("beta gamma", "s1")}
+    assert index.refresh(docs(spark, held)) == 2
+    assert "Join" not in plans[0]
+    held["D2"] = ("gamma gamma delta", "s1")
+    assert index.refresh(docs(spark, held)) == 1
+    dealt = [line for line in plans[1].splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("term" in line for line in dealt)
+    same_as_rebuilt(spark, index, held, tokenised(spark.createDataFrame([(1, "alpha gamma", "s1")], "query_id INT, q STRING, scope STRING"), "q"))
+
+
+def test_search_drops_what_cannot_be_among_the_best_before_dealing_by_query(spark):
+    index = SearchIndex(spark, fresh_path(spark, "index"))
+    index.refresh(docs(spark, {f"D{i}": ("alpha beta", "s0") for i in range(20)}))
+    found = index.search(tokenised(spark.createDataFrame([(1, "alpha", "s0")], "query_id INT, q STRING, scope STRING"), "q"), 3)
+    assert "WindowGroupLimit" in _plan(found)
+    assert [(r.doc_id, r.position) for r in found.orderBy("position").collect()] == [("D0", 0), ("D1", 1), ("D10", 2)]

@@ -32,11 +32,13 @@ def raw_frame(spark, sf, sources=None):
 
 
 def cards_frame(spark, sf):
-    orders, sources = a.orders_wo(spark, sf), sources_frame(spark, sf)
+    # Orders and changes are parsed from the events once; they are read five times below.
+    orders, changes = staged(a.orders_wo(spark, sf), "orders"), staged(a.changes(spark, sf), "changes")
+    sources = ex.card_sources(orders, a.notes(spark, sf))
     extracted = staged(ex.with_cards(sources, LEX).drop("source_text"), "extracted")  # texts are read and hashed once
     raw, keys = staged(ex.number_cards(extracted, BY, STAMP), "cards_raw"), extracted.drop("cards")
-    fixing = cd.fixing_changes(a.changes(spark, sf), orders, a.CARD.fix_window_min)
-    stale = cd.stale_cards(raw, keys, a.changes(spark, sf), fixing, a.CARD)
+    fixing = cd.fixing_changes(changes, orders, a.CARD.fix_window_min)
+    stale = cd.stale_cards(raw, keys, changes, fixing, a.CARD)
     recur = cd.recurrences(orders, a.CARD.recur_days)
     return staged(cd.cards(raw, keys, orders, a.technicians(spark, sf), recur, stale), "cards")
 

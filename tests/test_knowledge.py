@@ -342,3 +342,22 @@ def test_texts_are_lowered_once_and_trimmed_only_where_needed(spark):
     want = F.filter(F.split(whole, r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
     for r in frame.select("i", want.alias("w"), tx.split_sentences(F.col("t")).alias("g")).collect():
         assert r.g == r.w, r.i
+
+
+def test_cards_frame_parses_the_events_once_per_table(spark, tmp_path, monkeypatch):
+    """Orders and changes are views of the events: the joins to cards read them stored, with the same cards as before."""
+    from millwright.catalog import knowledge_queries as kq
+
+    events = [(i, D0 + dt.timedelta(hours=i), i % 3, "press", v, '{"k": %d}' % i) for i, v in enumerate([160.0, 1.0, 170.0, 135.0, 2.0])]
+    frames = {"events": (events, "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"),
+              "documents": ([(1, "Ask the crew. It was not ok again.", "en", "src1", 34)], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"),
+              "customer": ([(1, "Anna", "A")], "c_custkey LONG, c_name STRING, c_mktsegment STRING")}
+    for name, (made, schema) in frames.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plans, before = {}, kq.staged
+    monkeypatch.setattr(kq, "staged", lambda df, name="stage": (
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), before(df, name))[1])
+    got = rows(kq.cards_frame(spark, str(tmp_path)), "source_id", "card_type", "outcome")
+    assert "get_json_object" in plans["orders"] and "get_json_object" not in plans["cards"]
+    fixes = [(s[-1], o) for s, t, o in got if t == "FIX" and s.startswith("WO")]
+    assert ("2", "RESOLVED") in fixes and len([g for g in got if g[0].startswith("HN")]) == 1

@@ -40,7 +40,8 @@ def cards_frame(spark, sf):
     fixing = cd.fixing_changes(changes, orders, a.CARD.fix_window_min)
     stale = cd.stale_cards(raw, keys, changes, fixing, a.CARD)
     recur = cd.recurrences(orders, a.CARD.recur_days)
-    return staged(cd.cards(raw, keys, orders, a.technicians(spark, sf), recur, stale), "cards")
+    found = cd.cards(raw, keys, orders, a.technicians(spark, sf), recur, stale)
+    return cd.with_search_text(staged(found.drop("search_text"), "cards"))
 
 
 # ---------------------------------------------------------------- queries

@@ -64,19 +64,23 @@ def cards(raw: DataFrame, sources: DataFrame, work_orders: DataFrame, technician
           stale: DataFrame) -> DataFrame:
     """Stored cards whose text is still current, with derived outcome, author and staleness.
 
-    Order facts are joined on (source_type, source_id), so notes, which have no order, stay spread by their id.
+    Order facts are joined on (source_type, source_id), so notes, which have no order, stay spread by their id. All
+    facts meet as narrow rows, per source and then per card; the texts of the cards are joined once, by their key, and
+    never dealt by author, of whom there are few.
     """
-    current = raw.join(sources.select("source_type", "source_id", "text_hash", "author_technician_id", "source_ts"),
-                       ["source_type", "source_id", "text_hash"])
+    current = sources.select("source_type", "source_id", "text_hash", "author_technician_id", "source_ts")
     order_facts = work_orders.select("wo_id", "failure_mode_code", "parts_used").join(recur, "wo_id", "left").select(
         F.lit("WORK_ORDER").alias("source_type"), F.col("wo_id").alias("source_id"), "failure_mode_code",
         F.col("parts_used").alias("order_parts"), "recurred_by_wo", "recurred_after_days")
     names = technicians.select(F.col("technician_id").alias("author_technician_id"),
                                F.col("full_name").alias("author_name"))
-    df = current.join(order_facts, ["source_type", "source_id"], "left").join(
-        stale, ["source_type", "source_id", "card_seq"], "left").join(names, "author_technician_id", "left")
+    by_source = current.join(order_facts, ["source_type", "source_id"], "left").join(names, "author_technician_id", "left")
+    key = ["source_type", "source_id", "text_hash", "card_seq"]
+    facts = raw.select(*key).distinct().join(by_source, key[:3]).join(stale, key[:2] + key[3:], "left").withColumnsRenamed(
+        {c: f"__{c}" for c in key})
+    df = raw.join(facts, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
     came_back = (F.col("card_type") == "FIX") & F.col("recurred_by_wo").isNotNull()
-    return df.select(
+    return with_search_text(df.select(
         F.concat(F.lit("CARD-"), F.col("source_id"), F.lit("-"), F.col("card_seq").cast("string")).alias("card_id"),
         "card_type", "asset_id", F.coalesce("failure_mode", "failure_mode_code").alias("failure_mode"),
         "symptom_summary", "action_taken", F.coalesce("parts", "order_parts").alias("parts"),
@@ -88,9 +92,14 @@ def cards(raw: DataFrame, sources: DataFrame, work_orders: DataFrame, technician
         "recurred_by_wo", "author_technician_id", "author_name", "source_type", "source_id", "source_excerpt",
         "confidence", F.col("source_ts").alias("created_at"),
         F.col("first_change_at").isNotNull().alias("is_stale"), F.col("change_description").alias("stale_reason"),
-        F.concat_ws(" | ", F.coalesce("symptom_summary", F.lit("")), F.coalesce("action_taken", F.lit("")),
-                    F.coalesce("source_excerpt", F.lit(""))).alias("search_text"),
-        "extracted_by")
+        "extracted_by"))
+
+
+def with_search_text(cards_df: DataFrame) -> DataFrame:
+    """Cards with ``search_text``, which repeats three other columns: cards are stored without it, and it is made when they are read."""
+    text = F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in ("symptom_summary", "action_taken", "source_excerpt")])
+    others = [c for c in cards_df.columns if c not in ("search_text", "extracted_by")]
+    return cards_df.select(*others, text.alias("search_text"), "extracted_by")
 
 
 def cards_where(cards_df: DataFrame, predicate) -> DataFrame:

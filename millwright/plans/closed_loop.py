@@ -93,4 +93,5 @@ def cards(store: Store, changes: DataFrame, technicians: DataFrame, params: Card
     raw = staged(store.read("cards_raw"), "cards_raw")
     keys = staged(ex.card_sources(orders, notes).drop("source_text"), "sources")
     stale = cd.stale_cards(raw, keys, changes, cd.fixing_changes(changes, orders, params.fix_window_min), params)
-    return staged(cd.cards(raw, keys, orders, technicians, cd.recurrences(orders, params.recur_days), stale), "cards")
+    found = cd.cards(raw, keys, orders, technicians, cd.recurrences(orders, params.recur_days), stale)
+    return cd.with_search_text(staged(found.drop("search_text"), "cards"))

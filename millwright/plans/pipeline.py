@@ -60,7 +60,7 @@ def extract_new(sources: DataFrame, paths: CardPaths, by: str, at: Column | str,
     spark = sources.sparkSession
     log = read_table(spark, paths.log, SCHEMAS["card_extract_log"])
     todo = staged(ex.with_cards(ex.pending(sources, log, max_rows), lexicon).drop("source_text"), "extracted")
-    append_new(ex.number_cards(todo, by, at), paths.raw, CARD_KEY)
+    append_new(ex.number_cards(todo, by, at), paths.raw, CARD_KEY, ex.SOURCE_KEY)
     append_new(ex.extract_log(todo, by, at), paths.log, ex.SOURCE_KEY)
     return todo
 
@@ -82,7 +82,8 @@ def refresh_cards(work_orders: DataFrame, notes: DataFrame, changes: DataFrame,
     spark = work_orders.sparkSession
     sources = ex.card_sources(work_orders, notes)
     done = extract_new(sources, paths, by, F.current_timestamp() if at is None else at, lexicon, max_rows)
-    found = staged(card_view(spark, paths, sources, work_orders, changes, technicians, params), "cards")
+    found = card_view(spark, paths, sources, work_orders, changes, technicians, params)
+    found = cd.with_search_text(staged(found.drop("search_text"), "cards"))
     result = {"processed": done, "cards": found, "edges": cd.edges(found)}
     if paths.search:
         result["search_docs"] = refresh_search_docs(found, paths.search)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.schemas import RAW_TABLES, SCHEMAS
-from millwright.session import fresh_path
+from millwright.session import fresh_path, staged
 
 SEARCH_COLUMNS = ("card_id", "search_text", "card_type", "asset_id", "failure_mode", "outcome", "symptom_summary",
                   "action_taken", "source_type", "source_id", "source_excerpt", "author_name", "confidence",
@@ -64,19 +64,32 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        # Known to be empty when planned, so a join with it moves nothing.
+        return spark.range(1).limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def new_rows(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not stored yet; duplicates inside the batch collapse to one."""
-    return df.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+def new_rows(df: DataFrame, stored: DataFrame, keys: list[str], seldom: list[str] | None = None) -> DataFrame:
+    """Rows whose key is not stored yet; duplicates inside the batch collapse to one.
 
-
-def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    Where wide rows seldom repeat, ``seldom`` names some of the keys: only rows that share a whole key with another have
+    all rows of their ``seldom`` values compared; the others stay where they are. The batch is then read three times.
+    """
+    if seldom is None:
+        once = df.dropDuplicates(keys)
+    else:
+        twice = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").select(
+            *[F.col(c).alias(f"__{c}") for c in seldom]).distinct()
+        twice = staged(twice, "repeated")
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in seldom]
+        once = df.join(twice, same, "left_anti").unionByName(df.join(twice, same, "left_semi").dropDuplicates(keys))
+    return once.join(stored.select(*keys), keys, "left_anti")
+
+
+def append_new(df: DataFrame, path: str, keys: list[str], seldom: list[str] | None = None) -> DataFrame:
     """Append only rows with unseen keys and return the table."""
     spark = df.sparkSession
     stored = read_table(spark, path, df.schema)
-    new_rows(df, stored, keys).write.mode("append").parquet(path)
+    new_rows(df, stored, keys, seldom).write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -361,3 +361,57 @@ def test_cards_frame_parses_the_events_once_per_table(spark, tmp_path, monkeypat
     assert "get_json_object" in plans["orders"] and "get_json_object" not in plans["cards"]
     fixes = [(s[-1], o) for s, t, o in got if t == "FIX" and s.startswith("WO")]
     assert ("2", "RESOLVED") in fixes and len([g for g in got if g[0].startswith("HN")]) == 1
+
+
+def _exchanges_above(df, word):
+    """How many exchanges the rows of the scans that hold ``word`` pass."""
+    lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+    most = 0
+    for i, (depth, line) in enumerate(lines):
+        if "Scan" in line and word in line:
+            passed = 0
+            for d, x in reversed(lines[:i]):
+                if d < depth:
+                    depth, passed = d, passed + x.lstrip(" :+-").startswith("Exchange")
+            most = max(most, passed)
+    return most
+
+
+def test_texts_of_cards_are_shuffled_once_and_repeated_rows_pair_as_in_a_join(spark, table, tmp_path):
+    """Sources, cards and orders that come twice: every pair counts, as in one join after the other."""
+    w = orders(table, *[dict(wo_id=i, reported_at=day(0), closed_at=day(1)) for i in ("W1", "W2", "W2")])
+    hn = notes(table, ("N1", day(0), "P1 fix = seal changed. P1 never run dry."), (None, day(0), "P1 fix = seal changed."))
+    sources = ex.card_sources(w, hn)
+    made = ex.number_cards(ex.with_cards(sources), "rules", "2024-01-01 00:00:00")
+    made.union(made.filter("source_id = 'N1'")).write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.schema(made.schema).parquet(f"{tmp_path}/raw")  # stored, as in the queries: a read of the keys leaves the texts
+    stale = spark.createDataFrame([("HANDOVER_NOTE", "N1", 2, D0, "new part")],
+                                  "source_type STRING, source_id STRING, card_seq INT, first_change_at TIMESTAMP_NTZ, change_description STRING")
+    tech = table([dict(technician_id="T1", full_name="Ann"), dict(technician_id="T2", full_name="Bo")], "technicians")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cd.cards(raw, sources, w, tech, cd.recurrences(w), stale)
+        assert _exchanges_above(got, "symptom_summary") == 1
+        # W2: two cards, two sources, two orders; N1: two copies of each card, one source.
+        assert rows(got, "card_id", "author_name", "is_stale") == sorted(
+            [("CARD-W1-1", "Ann", False)] + [("CARD-W2-1", "Ann", False)] * 8
+            + [("CARD-N1-1", "Bo", False)] * 2 + [("CARD-N1-2", "Bo", True)] * 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_new_rows_move_only_what_repeats(spark, tmp_path):
+    """Null keys repeat too; nothing stored yet is known when the join is planned, so no row moves for it."""
+    from millwright.sources import tables as tb
+
+    data = [("a", 1, "x"), ("a", 2, "x"), ("b", 1, "y"), ("b", 1, "y"), ("b", 2, "z"), (None, 1, "n"), (None, 1, "n"), (None, None, "m")]
+    df = spark.createDataFrame(data, "id STRING, seq INT, body STRING")
+    none = tb.read_table(spark, str(tmp_path / "nothing"), df.schema)
+    assert none.schema == df.schema and none.count() == 0
+    assert "Join" not in df.join(none, ["id"], "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(set(data), key=str)
+    assert sorted((tuple(r) for r in tb.new_rows(df, none, ["id", "seq"], ["id"]).collect()), key=str) == want
+    path = str(tmp_path / "t")
+    tb.append_new(df.filter("id = 'a'"), path, ["id", "seq"], ["id"])
+    assert sorted((tuple(r) for r in tb.append_new(df, path, ["id", "seq"], ["id"]).collect()), key=str) == want

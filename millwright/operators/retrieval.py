@@ -247,8 +247,9 @@ def recall(active: DataFrame, cards: DataFrame, params: RankParams = RankParams(
     ``role`` says what a card is good for: fix, gotcha or symptom (NULL for conventions and unresolved fixes).
     """
     queries = staged(tokenised(recall_queries(active), "query_text", rules), "recall_queries")
-    docs = tokenised(card_documents(cards.filter(F.col("asset_id").isNotNull())), "doc_text", rules).select(
-        "card_id", "asset_id", "tokens")
+    # A card of another asset is in no query's corpus, so its text is not tokenised.
+    near = cards.join(staged(queries.select("asset_id").distinct(), "recall_assets"), "asset_id", "left_semi")
+    docs = tokenised(card_documents(near), "doc_text", rules).select("card_id", "asset_id", "tokens")
     hits = bm25_topk(queries, docs, params.recall_limit, "anomaly_id", "card_id", "asset_id", params).select(
         "anomaly_id", "card_id", F.col("position").cast("bigint").alias("position"))
     counts = hits.groupBy("anomaly_id").agg(F.count("*").alias("n_hits"))

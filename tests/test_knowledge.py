@@ -415,3 +415,14 @@ def test_new_rows_move_only_what_repeats(spark, tmp_path):
     path = str(tmp_path / "t")
     tb.append_new(df.filter("id = 'a'"), path, ["id", "seq"], ["id"])
     assert sorted((tuple(r) for r in tb.append_new(df, path, ["id", "seq"], ["id"]).collect()), key=str) == want
+
+
+def test_recall_reads_only_texts_of_the_assets_asked_for(spark, table, monkeypatch):
+    found = card_world(table, [(day(3), "PART_REPLACEMENT")])
+    asset = found.filter("asset_id IS NOT NULL").first().asset_id
+    other = found.withColumns({"asset_id": F.lit("elsewhere"), "card_id": F.concat(F.lit("X"), "card_id")})
+    active = spark.createDataFrame([("A-1", asset, "vibration", "M")], "anomaly_id STRING, asset_id STRING, sensors STRING, matched_failure_mode STRING")
+    want, seen, search = rows(rt.recall(active, found), "card_id", "position"), [], rt.bm25_topk
+    monkeypatch.setattr(rt, "bm25_topk", lambda q, docs, *args: (seen.append(docs), search(q, docs, *args))[1])
+    assert rows(rt.recall(active, found.unionByName(other)), "card_id", "position") == want
+    assert {r.asset_id for r in seen[0].collect()} == {asset}

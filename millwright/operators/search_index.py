@@ -9,7 +9,7 @@ The index is a set of sorted segments, one per refresh:
 ``level`` is a posting's impact (its share of a BM25 score before the term's weight) in steps of 1 / ``per_unit``, so the postings
 of a term at one level are a block whose best score is known without reading it. A refresh tokenises only texts whose hash is new,
 a deletion writes tombstones, and both are one commit; postings of replaced or deleted documents are told by their segment and
-skipped. Segments of similar size are merged, which drops what is dead.
+skipped. Segments of similar size, or all beyond a number, are merged, which drops what is dead.
 
 A search never scores all pairs that share a term. First the best blocks of each query's terms give some documents, and the k-th
 best of their full scores is a threshold. Blocks are then left unread, where most postings are saved per unit of bound first, as
@@ -94,15 +94,19 @@ class SearchIndex:
         batch.commit()
         return n
 
-    def merge(self) -> int:
-        """Merge segments of similar size where ``fan`` of them have gathered; returns how many went."""
+    def merge(self, most: int | None = None) -> int:
+        """Merge segments of similar size where ``fan`` of them have gathered, or, with ``most``, the smallest segments of any size
+        where there are more than so many; returns how many went."""
         tiers: dict[int, list] = {}
-        for row in self.store.read("segments").collect():  # a row per segment
+        rows = self.store.read("segments").collect()  # a row per segment
+        for row in rows:
             tier, size = 0, row.n_docs
             while size >= self.params.fan:
                 tier, size = tier + 1, size // self.params.fan
             tiers.setdefault(tier, []).append(row)
-        gone = [row for rows in tiers.values() if len(rows) >= self.params.fan for row in rows]
+        gone = [row for same in tiers.values() if len(same) >= self.params.fan for row in same]
+        if most is not None:
+            gone = sorted(rows, key=lambda row: row.n_docs)[:len(rows) - most + 1] if len(rows) > most else []
         if not gone:
             return 0
         old = [row.segment for row in gone]

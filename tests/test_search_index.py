@@ -131,3 +131,41 @@ def test_search_drops_what_cannot_be_among_the_best_before_dealing_by_query(spar
     found = index.search(tokenised(spark.createDataFrame([(1, "alpha", "s0")], "query_id INT, q STRING, scope STRING"), "q"), 3)
     assert "WindowGroupLimit" in _plan(found)
     assert [(r.doc_id, r.position) for r in found.orderBy("position").collect()] == [("D0", 0), ("D1", 1), ("D10", 2)]
+
+
+def test_merge_to_a_number_of_segments(spark):
+    """Segments of any size are merged, the smallest first; what is dead is dropped, and searches find the same."""
+    rng = random.Random(3)
+    index, held = SearchIndex(spark, fresh_path(spark, "index")), {}
+    for n in (40, 2, 9):
+        more = made(rng, n, len(held))
+        index.refresh(docs(spark, more))
+        held |= more
+    gone = sorted(held)[::5]
+    index.delete(spark.createDataFrame([(i,) for i in gone], "doc_id STRING"))
+    held = {i: v for i, v in held.items() if i not in gone}
+    assert index.merge() == 0 and index.merge(most=3) == 0
+    queries = searches(spark, rng)
+    for most, merged in ((2, 2), (1, 2), (1, 0)):
+        assert index.merge(most=most) == merged and index.store.read("segments").count() == most
+    assert index.store.read("segments").first().n_docs == len(held)
+    same_as_rebuilt(spark, index, held, queries)
+
+
+def test_search_refresh_searches_what_was_merged(spark, tmp_path, monkeypatch):
+    """The query's three segments become one without dead postings before it searches."""
+    from millwright.catalog import store_queries
+
+    texts = [(i, f"valve w{i} pump w{i % 4} bearing", ("en", "de", "fr")[i % 3], "src1") for i in range(30)]
+    spark.createDataFrame(texts, "doc_id LONG, text STRING, lang STRING, source STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "valve w3 w7"), (2, "pump w9 w15")], "item_id LONG, text STRING").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, search = [], SearchIndex.search
+
+    def searched(self, *args, **kwargs):
+        segments = self.store.read("segments").collect()
+        seen.append((len(segments), sum(r.n_docs for r in segments), self.store.read("documents").count()))
+        return search(self, *args, **kwargs)
+
+    monkeypatch.setattr(SearchIndex, "search", searched)
+    found = {r.doc_id for r in store_queries.search_refresh(spark, str(tmp_path)).where("query_id = 1 AND position < 1").collect()}
+    assert seen == [(1, 27, 27)] and found <= {"HN-000000000003", "HN-000000000007"} and found

@@ -168,23 +168,33 @@ def supersession_spans(cards_df: DataFrame) -> DataFrame:
         F.col("recurred_by_wo").alias("except_source"))
 
 
-def expand_spans(spans: DataFrame, order: DataFrame, block: int = 1024) -> DataFrame:
-    """SUPERSEDES edges of the given spans. Fixes are joined in numbered blocks, so one busy pattern is spread."""
+def expand_spans(spans: DataFrame, order: DataFrame, block: int = 1024, slices: int = 8, most: int = 2_000_000) -> DataFrame:
+    """SUPERSEDES edges of the given spans, which should be stored, as they are read twice.
+
+    A numbered block of fixes is one array, and a span meets the blocks it reaches. Blocks are met in ``slices`` parts of the spans
+    and dealt to tasks of about ``most`` edges: spans are few bytes, and by their size alone they would be expanded in one task.
+    """
     def block_of(c):
         return F.floor((c - 1) / block).cast("bigint")
 
+    key = [*_PATTERN, "block", "slice"]
+    edges = spans.agg(F.sum(F.col("last_no") - F.col("first_no") + 1)).first()[0] or 0
+    tasks = min(max(1, -(-edges // most)), 10_000)
     wanted = spans.select(F.col("card_id").alias("to_id"), *_PATTERN, "first_no", "except_source", F.explode(
-        F.sequence(block_of(F.col("first_no")), block_of(F.col("last_no")))).alias("block"))
-    fixes = order.select(*_PATTERN, "fix_no", F.col("card_id").alias("from_id"), "source_id",
-                         block_of(F.col("fix_no")).alias("block"))
-    hits = wanted.join(fixes, [*_PATTERN, "block"]).filter(
-        (F.col("fix_no") >= F.col("first_no")) & (F.col("source_id") != F.col("except_source")))
-    return _card_edge(hits, "SUPERSEDES")
+        F.sequence(block_of(F.col("first_no")), block_of(F.col("last_no")))).alias("block")).withColumn(
+        "slice", F.pmod(F.xxhash64("to_id"), F.lit(slices)).cast("int"))
+    fix = F.struct("fix_no", F.col("card_id").alias("from_id"), "source_id")
+    blocks = order.groupBy(*_PATTERN, block_of(F.col("fix_no")).alias("block")).agg(F.collect_list(fix).alias("fixes")).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    met = wanted.repartition(tasks, *key).join(blocks.repartition(tasks, *key), key)
+    hits = met.select("to_id", "first_no", "except_source", F.explode("fixes").alias("f")).filter(
+        (F.col("f.fix_no") >= F.col("first_no")) & (F.col("f.source_id") != F.col("except_source")))
+    return _card_edge(hits.select("to_id", F.col("f.from_id").alias("from_id")), "SUPERSEDES")
 
 
 def edges_supersedes(cards_df: DataFrame) -> DataFrame:
     """Every later resolved fix supersedes a fix that did not hold; as many rows as there are such pairs."""
-    return expand_spans(supersession_spans(cards_df), resolved_fix_order(cards_df))
+    return expand_spans(staged(supersession_spans(cards_df), "spans"), resolved_fix_order(cards_df))
 
 
 def edges(cards_df: DataFrame) -> DataFrame:
@@ -206,7 +216,8 @@ def incident_edges(cards_df: DataFrame, ids: DataFrame, block: int = 1024) -> Da
     found = starts.unionByName(others.join(wanted, others["to_id"] == wanted["id"], "left_semi"))
     spans = staged(supersession_spans(cards_df), "spans")
     order = staged(resolved_fix_order(cards_df), "fix_order")
-    older = expand_spans(spans.join(wanted, spans["card_id"] == wanted["id"], "left_semi"), order, block)
+    asked = staged(spans.join(wanted, spans["card_id"] == wanted["id"], "left_semi"), "asked_spans")
+    older = expand_spans(asked, order, block)
     block_of = lambda c: F.floor((c - 1) / block).cast("bigint")
     fixes = order.join(wanted, order["card_id"] == wanted["id"], "left_semi").select(
         *_PATTERN, "fix_no", F.col("card_id").alias("from_id"), "source_id",

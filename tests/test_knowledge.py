@@ -176,6 +176,21 @@ def test_supersession_expansion_equals_brute_force(spark):
     assert rows(got, "from_id", "to_id") == sorted(want)
 
 
+def test_supersession_edges_are_dealt_by_their_number(spark, tmp_path):
+    """Spans are few bytes in one file; what they expand to is spread all the same."""
+    from pyspark.sql import functions as F
+    ddl = "card_id STRING, asset_id STRING, failure_mode STRING, first_no LONG, last_no LONG, except_source STRING"
+    made = [(f"O{i}", "press", "M", i % 50 + 1, 900, f"S{i}") for i in range(300)]
+    spark.createDataFrame(made, ddl).coalesce(1).write.parquet(str(tmp_path / "spans"))
+    order = spark.createDataFrame([("press", "M", f"F{n}", f"S{n}", n) for n in range(1, 901)],
+                                  "asset_id STRING, failure_mode STRING, card_id STRING, source_id STRING, fix_no LONG")
+    got = cd.expand_spans(spark.read.parquet(str(tmp_path / "spans")), order, block=64, most=20_000)
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    want = {(f"F{n}", o[0]) for o in made for n in range(o[3], 901) if f"S{n}" != o[5]}
+    assert sum(tasks) == len(want) and len(tasks) > 6 and max(tasks) < len(want) / 4
+    assert {(r.from_id, r.to_id) for r in got.collect()} == want
+
+
 def test_refresh_is_idempotent_and_sees_edits(table, tmp_path):
     w = orders(table, dict(wo_id="W1", reported_at=day(0), closed_at=day(1)))
     ch, tech = table([], "asset_changes"), table([], "technicians")

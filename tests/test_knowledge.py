@@ -178,7 +178,6 @@ def test_supersession_expansion_equals_brute_force(spark):
 
 def test_supersession_edges_are_dealt_by_their_number(spark, tmp_path):
     """Spans are few bytes in one file; what they expand to is spread all the same."""
-    from pyspark.sql import functions as F
     ddl = "card_id STRING, asset_id STRING, failure_mode STRING, first_no LONG, last_no LONG, except_source STRING"
     made = [(f"O{i}", "press", "M", i % 50 + 1, 900, f"S{i}") for i in range(300)]
     spark.createDataFrame(made, ddl).coalesce(1).write.parquet(str(tmp_path / "spans"))
@@ -441,3 +440,64 @@ def test_recall_reads_only_texts_of_the_assets_asked_for(spark, table, monkeypat
     monkeypatch.setattr(rt, "bm25_topk", lambda q, docs, *args: (seen.append(docs), search(q, docs, *args))[1])
     assert rows(rt.recall(active, found.unionByName(other)), "card_id", "position") == want
     assert {r.asset_id for r in seen[0].collect()} == {asset}
+
+
+def _whole_cell(asked, hit, k):
+    """The best k of every query by sums over all pairs."""
+    sums = {}
+    for q, t, w in asked:
+        for d, u, impact in hit:
+            if t == u:
+                sums[q, d] = sums.get((q, d), 0.0) + w * impact
+    best = {}
+    for (q, d), score in sums.items():
+        best.setdefault(q, []).append((-round(score, 9), d))
+    return {(q, d): -s for q, found in best.items() for s, d in sorted(found)[:k]}
+
+
+def test_a_cell_looks_closely_at_few_of_its_documents(monkeypatch):
+    """Equal scores, a document listed twice for a term, rare and frequent terms, against the sums over all pairs."""
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(5)
+    docs = [f"D{i:04d}" for i in range(1500)]
+    hit = [(d, t, rng.choice([0.5, 1.0, 1.5])) for t in range(12) for d in rng.sample(docs, 3 if t > 9 else 400 + 90 * t)]
+    hit += [(d, t, 0.25) for d, t, _ in rng.sample(hit, 40)]
+    rng.shuffle(hit)
+    asked = [(q, t, rng.choice([1.0, 2.5])) for q in range(8) for t in rng.sample(range(10), 5)] + [(8, 10, 1.0), (9, 99, 1.0), (10, 11, 1.0), (10, 3, 2.0)]
+    looked, rint = [], np.rint
+    monkeypatch.setattr(rt.np, "rint", lambda x: (looked.append(len(x)), rint(x))[1])
+    got = rt._cell(pa.table({"__q": [a[0] for a in asked], "__t": pa.array([a[1] for a in asked], pa.int64()), "weight": [a[2] for a in asked]}),
+                   pa.table({"__d": [h[0] for h in hit], "__t": pa.array([h[1] for h in hit], pa.int64()), "impact": [h[2] for h in hit]}), 4)
+    assert {(r["__q"], r["__d"]): round(r["score"], 9) for r in got.to_pylist()} == _whole_cell(asked, hit, 4)
+    assert max(looked) < 700
+
+
+def test_search_hits_tokenise_a_card_once(spark, monkeypatch):
+    """Questions with and without an asset search the same postings; the hits are those of two searches."""
+    from millwright.operators import questions
+    rng = random.Random(9)
+    words = ["valve", "pump", "belt", "motor", "gear", "seal", "fan", "weld"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    ddl = "card_id STRING, asset_id STRING, search_text STRING, failure_mode STRING, card_type STRING, outcome STRING, confidence DOUBLE, is_stale BOOLEAN"
+    cards = spark.createDataFrame([(f"C{i}", rng.choice(["P1", "p2", None]), text(rng.randrange(9)), None, "FIX", "RESOLVED", 0.9, False) for i in range(60)]
+                                  + [("C1", "P1", text(5), None, "FIX", "RESOLVED", 0.9, False)], ddl)
+    asked = spark.createDataFrame([(f"Q{i}", text(3), rng.choice(["P1", "P2", "P9", None]), False, "search") for i in range(20)],
+                                  "qid STRING, question STRING, asset_id STRING, wants_warning BOOLEAN, tool STRING")
+    tokenising, before = [], rt.staged
+
+    def seen(df, name="stage"):
+        if name == "postings" and "regexp_extract_all" in df._jdf.queryExecution().executedPlan().toString():
+            tokenising.append(name)
+        return before(df, name)
+
+    monkeypatch.setattr(rt, "staged", seen)
+    got = rows(questions.search_hits(asked, cards), "qid", "card_id", "position")
+    assert len(tokenising) == 1
+    docs = rt.tokenised(rt.card_documents(cards), "doc_text").selectExpr("card_id", "upper(asset_id) AS scope", "tokens")
+    queries = rt.tokenised(asked, "question").selectExpr("qid", "asset_id AS scope", "tokens")
+    want = {}
+    for part, scope in ((queries.where("scope IS NOT NULL"), "scope"), (queries.where("scope IS NULL").drop("scope"), None)):
+        own = docs.where("scope IS NOT NULL") if scope else docs.drop("scope")
+        want |= {(r.qid, r.card_id): r.position for r in rt.bm25_topk(part, own, 10, "qid", "card_id", scope).collect()}
+    assert got and all(want[q, c] == p for q, c, p in got) and {q for q, _, _ in got} == {q for q, _ in want}
